@@ -16,59 +16,51 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUM_PART = r"[-+0-9.eE]"
 
 
-def _vertex(txt: Column) -> Column:
-    toks = F.split(F.trim(txt), r"\s+")
-    return F.struct(toks[0].try_cast("double").alias("x"), toks[1].try_cast("double").alias("y"))
+def let(expr: Column, fn) -> Column:
+    """Bind ``expr`` once and pass it to ``fn`` as a lambda variable.
 
+    Geometry functions refer to their argument many times; without the binding
+    every reference copies the argument's whole expression tree, and nested
+    calls grow the plan exponentially."""
+    return F.transform(F.array(expr), fn)[0]
 
-def _ring(txt: Column) -> Column:
-    """'x y, x y, ...' -> array<struct<x,y>>"""
-    return F.transform(F.split(F.trim(txt), r"\s*,\s*"), _vertex)
 
-
-def _coord_groups(txt: Column) -> Column:
-    """Innermost parenthesised coordinate lists of a WKT body, in order."""
-    groups = F.regexp_extract_all(txt, F.lit(r"\(([^()]*)\)"), 1)
-    return F.filter(groups, lambda s: s.rlike("[0-9]"))
+_NUM = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
+_COORDS = "array<array<array<array<double>>>>"
 
 
 def parse_wkt(wkt: Column) -> Column:
-    """GE1: WKT string -> geometry struct. Null in, null out; bad text gives empty parts."""
+    """GE1: WKT string -> geometry struct.  Null in, null out; text that does not parse
+    gives no parts (and a null bbox).
+
+    The body is rewritten to JSON ('(x y z, ...)' -> '[[x,y], ...]', Z and M dropped)
+    and read with one ``from_json`` into part -> ring -> vertex, whatever the kind."""
     t = F.upper(F.trim(wkt))
-    kind = F.regexp_extract(t, r"^([A-Z]+)", 1)
-    body = F.regexp_replace(t, r"^[A-Z]+\s*(ZM|Z|M)?\s*", "")
-    empty = body.rlike(r"^EMPTY") | (F.length(body) == 0)
-    groups = _coord_groups(body)
-
-    poly_parts = F.array(F.transform(groups, _ring))
-    multipoly_parts = F.transform(
-        F.split(body, r"\)\s*\)\s*,\s*\(\s*\("),
-        lambda p: F.transform(_coord_groups(F.concat(F.lit("("), p, F.lit(")"))), _ring),
-    )
-    line_parts = F.transform(groups, lambda g: F.array(_ring(g)))
-    # MULTIPOINT may be written (x y, x y) or ((x y), (x y)): every vertex is a part
-    mpoint_parts = F.transform(
-        F.flatten(F.transform(groups, lambda g: F.split(F.trim(g), r"\s*,\s*"))),
-        lambda v: F.array(F.array(_vertex(v))),
-    )
-    single = F.array(F.array(_ring(F.coalesce(groups[0], F.lit("")))))
-
-    parts = (
-        F.when(empty, F.array().cast("array<array<array<struct<x:double,y:double>>>>"))
-        .when(kind == "POLYGON", poly_parts)
-        .when(kind == "MULTIPOLYGON", multipoly_parts)
-        .when(kind == "MULTILINESTRING", line_parts)
-        .when(kind == "MULTIPOINT", mpoint_parts)
-        .when(kind.isin("POINT", "LINESTRING", "LINEARRING"), single)
-        .otherwise(F.array().cast("array<array<array<struct<x:double,y:double>>>>"))
-    )
-    first_vertex = F.split(F.trim(F.coalesce(F.split(F.coalesce(groups[0], F.lit("")), ",")[0], F.lit(""))), r"\s+")
-    has_z = (~empty) & (F.size(first_vertex) >= 3)
-    g = F.struct(kind.alias("kind"), parts.alias("parts"), has_z.alias("has_z"))
-    return F.when(wkt.isNull(), F.lit(None)).otherwise(with_bbox(g))
+    return F.when(wkt.isNotNull(), let(F.struct(
+        F.regexp_extract(t, r"^([A-Z]+)", 1).alias("kind"),
+        F.regexp_replace(t, r"^[A-Z]+\s*(ZM|Z|M)?\s*", "").alias("body"),
+        (F.size(F.split(F.trim(F.regexp_extract(t, r"\(+\s*([^,()]*)", 1)), r"\s+")) >= 3).alias("has_z"),
+    ), _parse))
+
+
+def _parse(kb: Column) -> Column:
+    kind, body = kb["kind"], kb["body"]
+    j = F.regexp_replace(body, rf"({_NUM})\s+({_NUM})(?:\s+{_NUM})*", "[$1,$2]")
+    j = F.translate(j, "()", "[]")
+    wrapped = (F.when(kind == "POINT", F.concat(F.lit("[[["), j, F.lit("]]]")))
+               .when(kind.isin("LINESTRING", "LINEARRING"), F.concat(F.lit("[["), j, F.lit("]]")))
+               .when(kind == "MULTIPOINT", F.when(j.startswith("[["), F.concat(F.lit("["), j, F.lit("]")))
+                     .otherwise(F.concat(F.lit("[["), j, F.lit("]]"))))
+               .when(kind.isin("POLYGON", "MULTILINESTRING"), F.concat(F.lit("["), j, F.lit("]")))
+               .when(kind == "MULTIPOLYGON", j))
+    coords = F.from_json(wrapped, _COORDS)
+    parts = F.transform(F.coalesce(coords, F.array().cast(_COORDS)), lambda p: F.transform(p, lambda r: F.transform(
+        r, lambda v: F.struct(v[0].alias("x"), v[1].alias("y")))))
+    empty = body.rlike("^EMPTY") | (F.length(body) == 0)
+    parts = F.when(empty, F.array().cast("array<array<array<struct<x:double,y:double>>>>")).otherwise(parts)
+    return with_bbox(F.struct(kind.alias("kind"), parts.alias("parts"), (kb["has_z"] & ~empty).alias("has_z")))
 
 
 def xs(geom: Column) -> Column:
@@ -79,8 +71,12 @@ def ys(geom: Column) -> Column:
     return F.flatten(F.flatten(F.transform(geom["parts"], lambda p: F.transform(p, lambda r: F.transform(r, lambda v: v["y"])))))
 
 
-def with_bbox(g: Column) -> Column:
+def with_bbox(geom: Column) -> Column:
     """(Re)compute the bounding box fields from ``parts``."""
+    return let(geom, _with_bbox)
+
+
+def _with_bbox(g: Column) -> Column:
     gx, gy = xs(g), ys(g)
     return F.struct(
         g["kind"].alias("kind"), g["parts"].alias("parts"), g["has_z"].alias("has_z"),
@@ -130,6 +126,10 @@ def _polygon_text(p: Column) -> Column:
 
 def to_wkt(geom: Column) -> Column:
     """GE2: geometry struct -> 2-D WKT ('POLYGON ((x y, ...))')."""
+    return let(geom, _to_wkt)
+
+
+def _to_wkt(geom: Column) -> Column:
     kind, parts = geom["kind"], geom["parts"]
     empty = F.size(parts) == 0
     txt = (
@@ -148,6 +148,10 @@ def to_wkt(geom: Column) -> Column:
 
 def first_part(geom: Column) -> Column:
     """GE5: MULTIPOLYGON -> its first POLYGON part (other parts are dropped, as the reference does)."""
+    return let(geom, _first_part)
+
+
+def _first_part(geom: Column) -> Column:
     is_multi = geom["kind"] == "MULTIPOLYGON"
     g = F.struct(
         F.when(is_multi, F.lit("POLYGON")).otherwise(geom["kind"]).alias("kind"),
@@ -160,6 +164,10 @@ def first_part(geom: Column) -> Column:
 def drop_z(geom: Column, keep_holes: bool = False) -> Column:
     """GE6: 3-D polygon -> 2-D from its exterior ring (holes are lost, as in the reference,
     unless ``keep_holes``); 2-D polygons and non-polygons pass through unchanged."""
+    return let(geom, lambda g: _drop_z(g, keep_holes))
+
+
+def _drop_z(geom: Column, keep_holes: bool) -> Column:
     cut = (geom["kind"] == "POLYGON") & geom["has_z"] & F.lit(not keep_holes)
     parts = F.when(cut, F.transform(geom["parts"], lambda p: F.slice(p, 1, 1))).otherwise(geom["parts"])
     g = F.struct(geom["kind"].alias("kind"), parts.alias("parts"), F.lit(False).alias("has_z"))
@@ -189,6 +197,10 @@ def _ring_signed_area2(r: Column) -> Column:
 
 def area(geom: Column) -> Column:
     """GE15: planar area in squared coordinate units; shells minus holes, summed over parts."""
+    return let(geom, _area)
+
+
+def _area(geom: Column) -> Column:
     part_area = lambda p: F.aggregate(
         F.transform(p, lambda r, j: F.when(j == 0, F.abs(_ring_signed_area2(r))).otherwise(-F.abs(_ring_signed_area2(r)))),
         F.lit(0.0), lambda a, b: a + b)

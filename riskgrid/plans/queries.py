@@ -17,7 +17,7 @@ from riskgrid.operators import events as ev
 from riskgrid.operators import spatial
 from riskgrid.plans import oracle as O
 from riskgrid.schema import CUSTOMER_COLUMNS, RESULT_COLUMNS
-from riskgrid.sources import derived
+from riskgrid.sources import derived, sinks
 
 BAND_KM = 50.0  # distance band of the distance query (JO3)
 
@@ -33,11 +33,21 @@ def register(name: str, sql: str | None):
 
 # ------------------------------------------------------------------ shared inputs
 
-def standard_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def standard_events_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = derived.hazard_tables(spark, sf_dir)
     return ev.standardise_events(ev.union_events(h["floods"], h["droughts"], h["fires"]))
 
 
+def standard_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The standardised event table as the impact job reads it: written once (SK3) under the
+    shared checkpoint folder, then scanned (SC6)."""
+    return sinks.materialise(standard_events_plan(spark, sf_dir), "std_events", sf_dir)
+
+
+def impact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.prepare_events(standard_events(spark, sf_dir))
+
+
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.customers(spark, sf_dir)
 
@@ -56,7 +66,7 @@ def q_tagged_events(spark, sf_dir):
           + "SELECT tipo_evento, origem, polig, additional_value, data_run, id_polig_evento FROM std_events_id")
 def q_events_union_standardised(spark, sf_dir):
     """ST1, FI1, GE5-GE7, PR6."""
-    return standard_events(spark, sf_dir)
+    return standard_events_plan(spark, sf_dir)
 
 
 # ------------------------------------------------------------------ customers
@@ -182,14 +192,14 @@ SELECT h.id_customer, h.latitude, h.longitude, h.polig_customer, h.description,
 FROM hits h LEFT JOIN pct p ON p.id_customer = h.id_customer AND p.s = h.s""")
 def q_affected_pairs(spark, sf_dir):
     """Flagship: JO2 grid join + JO4 area + PR10 columns, FI7 (is_in_event = true)."""
-    return _round_result(spatial.affected_pairs(customers(spark, sf_dir), standard_events(spark, sf_dir)))
+    return _round_result(spatial.affected_pairs(customers(spark, sf_dir), impact_events(spark, sf_dir)))
 
 
 @register("affected_customers", IMPACT_CTES + """
 SELECT id_customer, count(*) AS n_events FROM hits GROUP BY id_customer""")
 def q_affected_customers(spark, sf_dir):
     """JO6: customers hit by at least one event."""
-    return spatial.affected_customers(customers(spark, sf_dir), standard_events(spark, sf_dir))
+    return spatial.affected_customers(customers(spark, sf_dir), impact_events(spark, sf_dir))
 
 
 @register("affected_area_pct", IMPACT_CTES + """
@@ -199,7 +209,7 @@ WHERE round(p.pct, 4) <> 0""")
 def q_affected_area_pct(spark, sf_dir):
     """JO4 + FI8: polygon customers with a non-zero affected share (UTM 22S)."""
     c = customers(spark, sf_dir).filter(F.col("polig_customer").isNotNull())
-    e = standard_events(spark, sf_dir)
+    e = impact_events(spark, sf_dir)
     p = spatial.area_pct_pairs(c, e)
     p = spatial.attach(p.select("id_customer", "_ek", "percentage_area_affected"), spatial.event_geometry(e), "_ek",
                        ["id_polig_evento"])
@@ -234,7 +244,7 @@ def q_distance_to_event_km(spark, sf_dir):
     """JO3 (point customers): km to every event they are not inside, within the 50 km band.
     Polygon customers use the same operator through the numpy kernel (tested in pytest)."""
     c = customers(spark, sf_dir).filter(F.col("polig_customer").isNull())
-    e = standard_events(spark, sf_dir)
+    e = impact_events(spark, sf_dir)
     d = spatial.distance_pairs(c, e, BAND_KM)
     d = spatial.attach(d.select("id_customer", "_ek", "distance_to_event"), spatial.event_geometry(e), "_ek", ["id_polig_evento"])
     return d.select("id_customer", "id_polig_evento", F.round("distance_to_event", 6).alias("distance_to_event"))
