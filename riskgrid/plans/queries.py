@@ -328,3 +328,185 @@ def q_mercator_xy(spark, sf_dir):
     c = customers(spark, sf_dir).filter(F.col("latitude").isNotNull())
     m = geodesy.mercator(F.col("longitude"), F.col("latitude"))
     return c.select("id_customer", F.round(m["x"], 3).alias("merc_x"), F.round(m["y"], 3).alias("merc_y"))
+
+
+# ------------------------------------------------------------------ clustering
+
+def _pings_sql() -> str:
+    dx = ("CASE WHEN event_id % 10 < 6 THEN 3 * ((event_id * 31) % 14) WHEN event_id % 10 < 9 THEN 3 * ((event_id * 31) % 14) + 501 "
+          "ELSE 1200 + 3 * ((event_id * 7919) % 6000) END")
+    dy = ("CASE WHEN event_id % 10 < 6 THEN 3 * ((event_id * 17) % 13) WHEN event_id % 10 < 9 THEN 3 * ((event_id * 17) % 13) + 501 "
+          "ELSE 1200 + 3 * ((event_id * 6101) % 6000) END")
+    x = f"(-540000 + 3 * ((user_id * 397) % 20000) + {dx})"
+    y = f"(-320000 + 3 * ((user_id * 1009) % 33000) + {dy})"
+    return f"""pings AS (
+  SELECT CAST(user_id AS VARCHAR) AS user_id, ts, event_id,
+         CAST({O.deg(y)} AS FLOAT) AS latitude,
+         CASE WHEN event_id % 97 <> 0 THEN CAST({O.deg(x)} AS FLOAT) END AS longitude
+  FROM events
+), imp AS (
+  SELECT user_id, ts, event_id,
+         coalesce(latitude, CAST(avg(latitude) OVER (PARTITION BY user_id) AS FLOAT)) AS latitude,
+         coalesce(longitude, CAST(avg(longitude) OVER (PARTITION BY user_id) AS FLOAT)) AS longitude
+  FROM pings WHERE user_id IS NOT NULL
+), imputed AS (
+  SELECT * FROM imp WHERE latitude IS NOT NULL AND longitude IS NOT NULL
+)"""
+
+
+def _dbscan_sql(src: str, group: str, order: str, eps: float, name: str) -> str:
+    """Recursive-CTE DBSCAN over ``src`` rows (columns user_id, latitude, longitude, ...)."""
+    g = f"{group}, " if group else ""
+    on = (lambda a, b: f"{a}.{group} = {b}.{group} AND ") if group else (lambda a, b: "")
+    part = f"PARTITION BY {group} " if group else ""
+    return f"""{name}_ranked AS (
+  SELECT *, CAST(longitude AS DOUBLE) AS _x, CAST(latitude AS DOUBLE) AS _y,
+         row_number() OVER (ORDER BY {order}) AS _rk FROM {src}
+), {name}_pts AS (
+  SELECT {g}_x, _y, count(*) AS w, min(_rk) AS pid FROM {name}_ranked GROUP BY {g}_x, _y
+), {name}_pairs AS (
+  SELECT {'a.' + group + ', ' if group else ''}a.pid, b.pid AS npid, b.w AS nw
+  FROM {name}_pts a JOIN {name}_pts b ON {on('a', 'b')}(a._x - b._x) * (a._x - b._x) + (a._y - b._y) * (a._y - b._y) <= {eps!r} * {eps!r}
+), {name}_core AS (
+  SELECT {g}pid FROM {name}_pairs GROUP BY {g}pid HAVING sum(nw) >= 5
+), {name}_edges AS (
+  SELECT {'p.' + group + ', ' if group else ''}p.pid AS src, p.npid AS dst FROM {name}_pairs p
+  JOIN {name}_core a ON {on('p', 'a')}p.pid = a.pid JOIN {name}_core b ON {on('p', 'b')}p.npid = b.pid
+), {name}_reach AS (
+  SELECT {g}pid AS src, pid AS dst FROM {name}_core
+  UNION
+  SELECT {'r.' + group + ', ' if group else ''}r.src, e.dst FROM {name}_reach r JOIN {name}_edges e ON {on('r', 'e')}r.dst = e.src
+), {name}_root AS (
+  SELECT {g}src AS pid, min(dst) AS root FROM {name}_reach GROUP BY {g}src
+), {name}_num AS (
+  SELECT {g}root, CAST(dense_rank() OVER ({part}ORDER BY root) - 1 AS INTEGER) AS label
+  FROM (SELECT DISTINCT {g}root FROM {name}_root) t
+), {name}_corelab AS (
+  SELECT {'r.' + group + ', ' if group else ''}r.pid, n.label FROM {name}_root r JOIN {name}_num n ON {on('r', 'n')}r.root = n.root
+), {name}_border AS (
+  SELECT {'p.' + group + ', ' if group else ''}p.pid, min(c.label) AS label FROM {name}_pairs p
+  JOIN {name}_corelab c ON {on('p', 'c')}p.npid = c.pid
+  WHERE NOT EXISTS (SELECT 1 FROM {name}_core k WHERE {on('k', 'p')}k.pid = p.pid)
+  GROUP BY {'p.' + group + ', ' if group else ''}p.pid
+), {name}_lab AS (
+  SELECT * FROM {name}_corelab UNION ALL SELECT * FROM {name}_border
+), {name} AS (
+  SELECT r.*, coalesce(l.label, -1) AS _label FROM {name}_ranked r
+  JOIN {name}_pts p ON {on('r', 'p')}r._x = p._x AND r._y = p._y
+  LEFT JOIN {name}_lab l ON {on('p', 'l')}p.pid = l.pid
+)"""
+
+
+CLUSTER_CTES = "WITH RECURSIVE " + _pings_sql() + ",\n" + _dbscan_sql("imputed", "user_id", "user_id, ts, event_id", 0.002, "du")
+ALL_CTES = CLUSTER_CTES + """, labelled AS (
+  SELECT user_id, ts, event_id, latitude, longitude, _label AS cluster FROM du WHERE _label <> -1
+),
+""" + _dbscan_sql("labelled", "", "user_id, ts, event_id", 0.001, "da")
+
+
+def pings(spark, sf_dir):
+    from riskgrid.operators import cluster
+    return cluster.ping_source(derived.pings(spark, sf_dir))
+
+
+@register("impute_mean_user", CLUSTER_CTES + "\nSELECT user_id, event_id, latitude, longitude FROM imputed")
+def q_impute_mean_user(spark, sf_dir):
+    """SC8, PR16, AG4: float pings with per-user mean imputation."""
+    from riskgrid.operators import cluster
+    return cluster.impute_mean(pings(spark, sf_dir)).select("user_id", "event_id", "latitude", "longitude")
+
+
+@register("dbscan_per_user", CLUSTER_CTES + "\nSELECT user_id, latitude, longitude, CAST(_label AS INTEGER) AS cluster FROM du WHERE _label <> -1")
+def q_dbscan_per_user(spark, sf_dir):
+    """AG5 + FI6: per-user DBSCAN (eps 0.002, min_samples 5), noise dropped."""
+    from riskgrid.operators import cluster
+    return cluster.dbscan_per_user(pings(spark, sf_dir)).select("user_id", "latitude", "longitude", "cluster")
+
+
+@register("main_cluster", CLUSTER_CTES + """, per AS (
+  SELECT user_id, CAST(_label AS INTEGER) AS cluster, count(*) AS n_points,
+         avg(CAST(latitude AS DOUBLE)) AS latitude, avg(CAST(longitude AS DOUBLE)) AS longitude
+  FROM du WHERE _label <> -1 GROUP BY user_id, _label
+)
+SELECT user_id, cluster, n_points, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n_points DESC, cluster) AS r FROM per) t WHERE r = 1""")
+def q_main_cluster(spark, sf_dir):
+    """AG8: each user's main place."""
+    from riskgrid.operators import cluster
+    m = cluster.main_cluster(cluster.dbscan_per_user(pings(spark, sf_dir)))
+    return m.select("user_id", "cluster", "n_points", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"))
+
+
+@register("dbscan_all", ALL_CTES + "\nSELECT user_id, latitude, longitude, cluster, CAST(_label AS INTEGER) AS label_all FROM da")
+def q_dbscan_all(spark, sf_dir):
+    """AG6: DBSCAN over all labelled points together (eps 0.001)."""
+    from riskgrid.operators import cluster
+    return cluster.dbscan_all(cluster.dbscan_per_user(pings(spark, sf_dir))).select(
+        "user_id", "latitude", "longitude", "cluster", "label_all")
+
+
+def _metrics_sql(src: str, by: str = "") -> str:
+    g = f"{by}, " if by else ""
+    on = (lambda a, b: f"{a}.{by} = {b}.{by}") if by else (lambda a, b: "true")
+    return f""", mp AS (
+  SELECT {g}cluster, CAST(longitude AS DOUBLE) AS x, CAST(latitude AS DOUBLE) AS y FROM {src}
+), cent AS (
+  SELECT {g}cluster, count(*) AS ni, avg(x) AS cx, avg(y) AS cy FROM mp GROUP BY {g}cluster
+), tot AS (
+  SELECT {g}count(*) AS n, avg(x) AS ox, avg(y) AS oy FROM mp {'GROUP BY ' + by if by else ''}
+), kk AS (
+  SELECT {g}count(*) AS k FROM cent {'GROUP BY ' + by if by else ''}
+), within AS (
+  SELECT {'p.' + by + ', ' if by else ''}p.cluster, sum((p.x - c.cx) * (p.x - c.cx) + (p.y - c.cy) * (p.y - c.cy)) AS w,
+         avg(sqrt((p.x - c.cx) * (p.x - c.cx) + (p.y - c.cy) * (p.y - c.cy))) AS s
+  FROM mp p JOIN cent c ON {on('p', 'c')} AND p.cluster = c.cluster GROUP BY {'p.' + by + ', ' if by else ''}p.cluster
+), sums AS (
+  SELECT {'c.' + by + ', ' if by else ''}sum(c.ni * ((c.cx - t.ox) * (c.cx - t.ox) + (c.cy - t.oy) * (c.cy - t.oy))) AS b, sum(w.w) AS w
+  FROM cent c JOIN within w ON {on('c', 'w')} AND c.cluster = w.cluster JOIN tot t ON {on('c', 't')}
+  {'GROUP BY c.' + by if by else ''}
+), dbr AS (
+  SELECT {'a.' + by + ', ' if by else ''}a.cluster, max((wa.s + wb.s) / sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy))) AS r
+  FROM cent a JOIN cent b ON {on('a', 'b')} AND a.cluster <> b.cluster
+  JOIN within wa ON {on('a', 'wa')} AND wa.cluster = a.cluster JOIN within wb ON {on('b', 'wb')} AND wb.cluster = b.cluster
+  GROUP BY {'a.' + by + ', ' if by else ''}a.cluster
+), db AS (
+  SELECT {g}avg(r) AS dbi FROM dbr {'GROUP BY ' + by if by else ''}
+)
+SELECT {'t.' + by + ', ' if by else ''}t.n, k.k,
+       round(CASE WHEN k.k >= 2 AND k.k < t.n THEN (CASE WHEN s.w = 0 THEN 1.0 ELSE (s.b / (k.k - 1)) / (s.w / (t.n - k.k)) END) END, 6) AS calinski_harabasz,
+       round(CASE WHEN k.k >= 2 AND k.k < t.n THEN d.dbi END, 6) AS davies_bouldin
+FROM tot t JOIN kk k ON {on('t', 'k')} JOIN sums s ON {on('t', 's')} LEFT JOIN db d ON {on('t', 'd')}"""
+
+
+def _round_metrics(df):
+    return df.withColumn("calinski_harabasz", F.round("calinski_harabasz", 6)).withColumn("davies_bouldin", F.round("davies_bouldin", 6))
+
+
+@register("cluster_metrics", CLUSTER_CTES + ", lab AS (SELECT user_id, latitude, longitude, _label AS cluster FROM du WHERE _label <> -1)"
+          + _metrics_sql("lab"))
+def q_cluster_metrics(spark, sf_dir):
+    """AG7b, AG7c: Calinski-Harabasz and Davies-Bouldin of the per-user labels (as the reference, Q12)."""
+    from riskgrid.operators import cluster, metrics
+    return _round_metrics(metrics.centroid_metrics(cluster.dbscan_per_user(pings(spark, sf_dir))))
+
+
+@register("top_labels", ALL_CTES + """
+SELECT _label AS label, CAST(dense_rank() OVER (ORDER BY _label) AS INTEGER) AS rank
+FROM (SELECT DISTINCT _label FROM da WHERE _label <> -1) t""")
+def q_top_labels(spark, sf_dir):
+    """AG10, ST3: distinct all-points labels ascending, ranked."""
+    from riskgrid.operators import cluster, metrics
+    return metrics.top_labels(cluster.dbscan_all(cluster.dbscan_per_user(pings(spark, sf_dir)))).select(
+        "label", F.col("rank").cast("int").alias("rank"))
+
+
+@register("metric_sweep", ALL_CTES + """, rk AS (
+  SELECT _label, dense_rank() OVER (ORDER BY _label) AS rank FROM (SELECT DISTINCT _label FROM da WHERE _label <> -1) t
+), sweep AS (
+  SELECT n.n_clusters, d.user_id, d.latitude, d.longitude, d.cluster
+  FROM da d JOIN rk ON d._label = rk._label JOIN range(2, 11) n(n_clusters) ON rk.rank <= n.n_clusters
+)""" + _metrics_sql("sweep", "n_clusters"))
+def q_metric_sweep(spark, sf_dir):
+    """AG9 + FI9: CH and DB for the points of the first n all-points labels, n = 2..10."""
+    from riskgrid.operators import cluster, metrics
+    return _round_metrics(metrics.metric_sweep(cluster.dbscan_all(cluster.dbscan_per_user(pings(spark, sf_dir)))))
