@@ -510,3 +510,65 @@ def q_metric_sweep(spark, sf_dir):
     """AG9 + FI9: CH and DB for the points of the first n all-points labels, n = 2..10."""
     from riskgrid.operators import cluster, metrics
     return _round_metrics(metrics.metric_sweep(cluster.dbscan_all(cluster.dbscan_per_user(pings(spark, sf_dir)))))
+
+
+# ------------------------------------------------------------------ map layers
+
+_NORM = "strip_accents(lower(trim(coalesce(tipo_evento, 'None'))))"
+_LAYER = (f"CASE {_NORM} WHEN 'secas brasil' THEN 'droughts' WHEN 'incendios brasil' THEN 'fires' "
+          "WHEN 'enchentes rs' THEN 'floods' END")
+_COLOUR = (f"CASE {_LAYER} WHEN 'droughts' THEN (CASE strip_accents(lower(trim(additional_value))) "
+           + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ev.SEVERITY_COLOURS.items())
+           + f" END) WHEN 'fires' THEN '{ev.FIRE_COLOUR}' WHEN 'floods' THEN '{ev.FLOOD_COLOUR}' END")
+_LAYER_CTES = O.with_(O.EVENT_BASE, O.STD_EVENTS) + f""", layered AS (
+  SELECT *, {_NORM} AS tipo_evento_normalizado, {_LAYER} AS layer, {_COLOUR} AS color FROM std_events_id
+)"""
+
+
+def _layered(spark, sf_dir):
+    return ev.layers(standard_events(spark, sf_dir))
+
+
+@register("normalise_text", _LAYER_CTES + "\nSELECT id_polig_evento, tipo_evento_normalizado FROM layered")
+def q_normalise_text(spark, sf_dir):
+    """PR13: normalised hazard type of every standardised event."""
+    return _layered(spark, sf_dir).select("id_polig_evento", "tipo_evento_normalizado")
+
+
+@register("layer_colours", _LAYER_CTES + "\nSELECT id_polig_evento, layer, color FROM layered")
+def q_layer_colours(spark, sf_dir):
+    """FI2, PR14, PR15: map layer and colour of every event."""
+    return _layered(spark, sf_dir).select("id_polig_evento", "layer", "color")
+
+
+@register("layer_counts", _LAYER_CTES + """, dim AS (
+  SELECT * FROM (VALUES ('droughts'), ('fires'), ('floods'), ('states')) t(layer)
+)
+SELECT d.layer, CAST(count(l.layer) AS BIGINT) AS n FROM dim d LEFT JOIN layered l ON l.layer = d.layer GROUP BY d.layer""")
+def q_layer_counts(spark, sf_dir):
+    """AG2 + FI10: events per layer, zero rows for empty layers (no state layer here)."""
+    return ev.layer_counts(_layered(spark, sf_dir))
+
+
+def _bounds_select(by: str) -> str:
+    lo_x, lo_y = O.mercator_sql("min(" + O.dval("x0") + ")", "min(" + O.dval("y0") + ")")
+    hi_x, hi_y = O.mercator_sql("max(" + O.dval("x1") + ")", "max(" + O.dval("y1") + ")")
+    g = f"{by}, " if by else ""
+    return (f"SELECT {g}round({lo_x}, 3) AS xmin, round({lo_y}, 3) AS ymin, round({hi_x}, 3) AS xmax, "
+            f"round({hi_y}, 3) AS ymax FROM layered WHERE layer IS NOT NULL" + (f" GROUP BY {by}" if by else ""))
+
+
+def _round_bounds(df):
+    return df.select(*[F.round(c, 3).alias(c) if c in ("xmin", "ymin", "xmax", "ymax") else F.col(c) for c in df.columns])
+
+
+@register("layer_bounds_3857", _LAYER_CTES + "\n" + _bounds_select("layer"))
+def q_layer_bounds_3857(spark, sf_dir):
+    """GE12 + AG3 per layer: web Mercator bounds of each layer."""
+    return _round_bounds(ev.layer_bounds_3857(ev.layer_geometries(_layered(spark, sf_dir))))
+
+
+@register("total_bounds", _LAYER_CTES + "\n" + _bounds_select(""))
+def q_total_bounds(spark, sf_dir):
+    """ST2 + AG3: web Mercator bounds over all layers."""
+    return _round_bounds(ev.total_bounds_3857(ev.layer_geometries(_layered(spark, sf_dir))))
