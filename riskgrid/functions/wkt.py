@@ -49,9 +49,9 @@ def _parse(kb: Column) -> Column:
     kind, body = kb["kind"], kb["body"]
     j = F.regexp_replace(body, rf"({_NUM})\s+({_NUM})(?:\s+{_NUM})*", "[$1,$2]")
     j = F.translate(j, "()", "[]")
-    wrapped = (F.when(kind == "POINT", F.concat(F.lit("[[["), j, F.lit("]]]")))
-               .when(kind.isin("LINESTRING", "LINEARRING"), F.concat(F.lit("[["), j, F.lit("]]")))
-               .when(kind == "MULTIPOINT", F.when(j.startswith("[["), F.concat(F.lit("["), j, F.lit("]")))
+    # '(x y)' and '(x y, ...)' are already a ring level: '[[x,y], ...]'
+    wrapped = (F.when(kind.isin("POINT", "LINESTRING", "LINEARRING"), F.concat(F.lit("[["), j, F.lit("]]")))
+               .when(kind == "MULTIPOINT", F.when(j.startswith("[[["), F.concat(F.lit("["), j, F.lit("]")))
                      .otherwise(F.concat(F.lit("[["), j, F.lit("]]"))))
                .when(kind.isin("POLYGON", "MULTILINESTRING"), F.concat(F.lit("["), j, F.lit("]")))
                .when(kind == "MULTIPOLYGON", j))

@@ -572,3 +572,16 @@ def q_layer_bounds_3857(spark, sf_dir):
 def q_total_bounds(spark, sf_dir):
     """ST2 + AG3: web Mercator bounds over all layers."""
     return _round_bounds(ev.total_bounds_3857(ev.layer_geometries(_layered(spark, sf_dir))))
+
+
+# ------------------------------------------------------------------ geometry quality
+
+@register("polygon_validity", O.with_(O.EVENT_BASE, O.RAW_EVENTS, O.CUSTOMERS) + """
+SELECT CAST(count(*) AS BIGINT) AS n_valid, CAST(0 AS BIGINT) AS n_repaired, CAST(0 AS BIGINT) AS n_rejected
+FROM (SELECT polig FROM raw_events UNION ALL SELECT polig_customer FROM customers WHERE polig_customer IS NOT NULL) t""")
+def q_polygon_validity(spark, sf_dir):
+    """GE3, GE4, FI3, FI4, AG1 over the raw hazard polygons and the customer polygons."""
+    from riskgrid.operators import quality
+    polys = derived.raw_events(spark, sf_dir).select("polig").unionByName(
+        customers(spark, sf_dir).filter(F.col("polig_customer").isNotNull()).select(F.col("polig_customer").alias("polig")))
+    return quality.validity_counts(quality.check_polygons(polys))

@@ -126,3 +126,70 @@ def test_centroid_metrics_by_hand(spark):
     assert m["calinski_harabasz"] == pytest.approx((300.0 / 1) / ((8.0 / 3) / 4))
     s = (2 ** 0.5 / 3 + 2 * (5 ** 0.5 / 3)) / 3  # mean distance to the centroid
     assert m["davies_bouldin"] == pytest.approx(2 * s / (200 ** 0.5))
+
+
+KML = """<?xml version="1.0" encoding="UTF-8"?>
+<kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>doc</name>
+<Folder><name>f1</name>
+<Placemark><name>RS</name><description>RIO GRANDE DO SUL / SUL</description>
+<Polygon><outerBoundaryIs><LinearRing><coordinates>-51,-30,5 -50,-30,5 -50,-29,5 -51,-29,5 -51,-30,5</coordinates></LinearRing></outerBoundaryIs>
+<innerBoundaryIs><LinearRing><coordinates>-50.8,-29.8,5 -50.8,-29.2,5 -50.2,-29.2,5 -50.2,-29.8,5 -50.8,-29.8,5</coordinates></LinearRing></innerBoundaryIs></Polygon></Placemark>
+<Folder><name>f2</name>
+<Placemark><name>MG</name><MultiGeometry><Polygon><outerBoundaryIs><LinearRing><coordinates>0,0 1,0 1,1 0,0</coordinates></LinearRing></outerBoundaryIs></Polygon><Polygon><outerBoundaryIs><LinearRing><coordinates>5,5 6,5 6,6 5,5</coordinates></LinearRing></outerBoundaryIs></Polygon></MultiGeometry></Placemark>
+</Folder></Folder>
+<Placemark><name>P</name><Point><coordinates>-47.5,-21.2</coordinates></Point></Placemark>
+<Placemark><name>AC</name><description>ACRE / NORTE</description><LineString><coordinates>-70,-10 -69,-10 -69,-9 -70,-10</coordinates></LineString></Placemark>
+<Placemark><name>none</name></Placemark>
+</Document></kml>
+"""
+
+
+def test_kml_source(spark, tmp_path):
+    from riskgrid.sources import kml
+    p = tmp_path / "a.kml"
+    p.write_text(KML)
+    rows = {r["name"]: r["wkt"] for r in kml.read_kml(spark, str(p)).collect()}
+    assert set(rows) == {"RS", "MG", "P", "AC"}          # nested folders walked, no-geometry skipped
+    assert rows["RS"].startswith("POLYGON Z ((-51 -30 5, ") and rows["RS"].count("(") == 3
+    assert rows["MG"] == "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5)))"
+    assert rows["P"] == "POINT (-47.5 -21.2)"
+    std = {r[0]: r[1] for r in kml.read_kml(spark, str(p)).select("name", wkt.standardise_wkt(F.col("wkt"))).collect()}
+    assert std["RS"] == "POLYGON ((-51 -30, -50 -30, -50 -29, -51 -29, -51 -30))"   # Z: exterior only
+    assert std["MG"] == "POLYGON ((0 0, 1 0, 1 1, 0 0))"
+    states = kml.read_states(spark, str(p)).filter("uf = 'AC'").first()
+    assert (states["state"], states["region"]) == ("ACRE", "NORTE")
+    assert kml.read_states(spark, str(tmp_path / "missing.kml")).count() == 0
+
+
+def test_geojson_source_and_drought_tags(spark, tmp_path):
+    import json
+    from riskgrid.sources import geojson
+    fc = {"type": "FeatureCollection", "features": [
+        {"type": "Feature", "properties": {"uf_codigo": "s1", "Valor": 2},
+         "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}},
+        {"type": "Feature", "properties": {"uf_codigo": "s3", "Valor": 4},
+         "geometry": {"type": "MultiPolygon", "coordinates": [[[[0, 0], [1, 0], [1, 1], [0, 0]]], [[[5, 5], [6, 5], [6, 6], [5, 5]]]]}},
+    ]}
+    p = tmp_path / "d.geojson"
+    p.write_text(json.dumps(fc))
+    g = geojson.require_columns(geojson.read_geojson(spark, str(p)), ["uf_codigo", "Valor", "geometry_wkt"])
+    rows = sorted(g.collect())
+    assert rows[0]["geometry_wkt"] == "POLYGON ((0 0, 1 0, 1 1, 0 0))"
+    assert rows[1]["geometry_wkt"] == "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5)))"
+    ev = events.tag_droughts(g, date="2024-07-31")
+    assert ev.columns == ["tipo_evento", "origem", "polig", "additional_value", "data_run"]
+    assert {r["additional_value"] for r in ev.collect()} == {"s1", "s3"}
+    assert geojson.preview(g, 1).count() == 1
+
+
+def test_quality_split_and_repair(spark):
+    from riskgrid.operators import quality
+    df = spark.createDataFrame([
+        ("POLYGON ((0 0, 1 0, 1 1, 0 1, 0 0))",),
+        ("POLYGON ((0 0, 2 2, 2 0, 0 2, 0 0))",),        # bow-tie: repaired
+    ], "polig string")
+    checked = quality.check_polygons(df)
+    c = quality.validity_counts(checked).first()
+    assert (c["n_valid"], c["n_repaired"], c["n_rejected"]) == (1, 1, 0)
+    fixed = quality.valid_polygons(checked).select(wkt.area(wkt.parse_wkt(F.col("polig"))).alias("a")).collect()
+    assert sorted(round(r["a"], 9) for r in fixed) == [1.0, 2.0]
