@@ -38,6 +38,7 @@ def main():
         t0 = time.time()
         rows[name] = fn(spark, sf_dir).count()
         times[name] = round(time.time() - t0, 3)
+        print(f"{name}: {times[name]}s, {rows[name]} rows", file=sys.stderr, flush=True)
     spark.stop()
     sf = sf_dir.rstrip("/").split("sf")[-1]
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",

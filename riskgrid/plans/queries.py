@@ -585,3 +585,29 @@ def q_polygon_validity(spark, sf_dir):
     polys = derived.raw_events(spark, sf_dir).select("polig").unionByName(
         customers(spark, sf_dir).filter(F.col("polig_customer").isNotNull()).select(F.col("polig_customer").alias("polig")))
     return quality.validity_counts(quality.check_polygons(polys))
+
+
+# ------------------------------------------------------------------ users' places x events
+
+_PLACE_HIT = f"""(m.lon BETWEEN {O.dval('e.x0')} AND {O.dval('e.x1')} AND m.lat BETWEEN {O.dval('e.y0')} AND {O.dval('e.y1')}
+  AND NOT (e.shape = 2 AND m.lon > {O.dval('e.hx0')} AND m.lon < {O.dval('e.hx1')}
+           AND m.lat > {O.dval('e.hy0')} AND m.lat < {O.dval('e.hy1')}))"""
+
+
+@register("user_place_hits", CLUSTER_CTES + ", " + O.EVENT_BASE + ", " + O.STD_EVENTS + f""", per AS (
+  SELECT user_id, _label AS cluster, count(*) AS n_points,
+         avg(CAST(latitude AS DOUBLE)) AS lat, avg(CAST(longitude AS DOUBLE)) AS lon
+  FROM du WHERE _label <> -1 GROUP BY user_id, _label
+), main AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n_points DESC, cluster) AS r FROM per) t WHERE r = 1
+)
+SELECT 'user ' || m.user_id AS description, e.id_polig_evento
+FROM main m JOIN std_events_id e ON {_PLACE_HIT}""")
+def q_user_place_hits(spark, sf_dir):
+    """JO7 + JO6: users whose main clustered place lies in an event."""
+    from riskgrid.operators import cluster
+    places = spatial.user_place_customers(cluster.main_cluster(cluster.dbscan_per_user(pings(spark, sf_dir))))
+    e = impact_events(spark, sf_dir)
+    hits = spatial.intersecting_pairs(places, e)
+    hits = spatial.attach(hits.select("description", "_ek"), e, "_ek", ["id_polig_evento"])
+    return hits.select("description", "id_polig_evento")

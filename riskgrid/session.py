@@ -55,9 +55,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     unset (local tests) a scratch folder is created and registered.
     """
     sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir()
-    if hasattr(d, "isDefined"):  # scala Option
-        d = d.get() if d.isDefined() else None
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         if sc.master.startswith("local"):
             d = tempfile.mkdtemp(prefix="riskgrid-ckpt-", dir=os.environ.get("RISKGRID_SCRATCH", "/tmp"))

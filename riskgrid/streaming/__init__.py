@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference reads only static files (no readStream, watermark, window or state),
+so there is no streaming operator to rebuild.  Batch jobs here are written so a
+``foreachBatch`` sink could call them unchanged.
+"""
