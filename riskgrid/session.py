@@ -38,6 +38,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -66,3 +67,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     sc.setCheckpointDir(d)
     return d
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``riskgrid`` importable in the Python workers (the Arrow kernels run there):
+    zip the package once per application and hand it to ``addPyFile``, which copies it
+    to every executor."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    stage = tempfile.mkdtemp(prefix="riskgrid-pkg-")
+    archive = shutil.make_archive(os.path.join(stage, "riskgrid"), "zip", root_dir=os.path.dirname(pkg_dir),
+                                  base_dir="riskgrid")
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)
