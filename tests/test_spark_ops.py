@@ -193,3 +193,18 @@ def test_quality_split_and_repair(spark):
     assert (c["n_valid"], c["n_repaired"], c["n_rejected"]) == (1, 1, 0)
     fixed = quality.valid_polygons(checked).select(wkt.area(wkt.parse_wkt(F.col("polig"))).alias("a")).collect()
     assert sorted(round(r["a"], 9) for r in fixed) == [1.0, 2.0]
+
+
+def test_native_functions_stay_in_jvm(spark):
+    from riskgrid.functions import geodesy
+    df = spark.createDataFrame([("POLYGON Z ((0 0 1, 1 0 1, 1 1 1, 0 0 1))", -30.0, -51.0)], "w string, lat double, lon double")
+    out = df.select(wkt.standardise_wkt(F.col("w")).alias("s"),
+                    wkt.to_wkt(wkt.point(F.col("lon"), F.col("lat"))).alias("p"),
+                    geodesy.haversine_km(F.col("lat"), F.col("lon"), F.lit(-29.0), F.lit(-51.0)).alias("h"),
+                    geodesy.utm(F.col("lon"), F.col("lat")).alias("u"),
+                    geodesy.mercator(F.col("lon"), F.col("lat")).alias("m"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "MapInPandas" not in plan
+    r = out.first()
+    assert r["s"] == "POLYGON ((0 0, 1 0, 1 1, 0 0))" and r["p"] == "POINT (-51 -30)"
+    assert r["u"]["x"] == pytest.approx(500000.0)
