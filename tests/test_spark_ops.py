@@ -208,3 +208,26 @@ def test_native_functions_stay_in_jvm(spark):
     r = out.first()
     assert r["s"] == "POLYGON ((0 0, 1 0, 1 1, 0 0))" and r["p"] == "POINT (-51 -30)"
     assert r["u"]["x"] == pytest.approx(500000.0)
+
+
+def test_full_impact_table_consistent(spark):
+    """JO1 + JO5: every customer x event, measures consistent with the join-based operators."""
+    c = customers(spark, SF)
+    e = spatial.prepare_events(standard_events_plan(spark, SF))
+    full = spatial.impact_table(c, e)
+    n_c, n_e = c.count(), e.count()
+    rows = full.collect()
+    assert len(rows) == n_c * n_e
+    assert full.columns[-3:] == ["is_in_event", "distance_to_event", "percentage_area_affected"]
+    hits = {(r["id_customer"], r["id_polig_evento"]) for r in rows if r["is_in_event"]}
+    want = spatial.attach(spatial.intersecting_pairs(c, e).select("id_customer", "_ek"), e, "_ek", ["id_polig_evento"])
+    assert hits == {(r[0], r[1]) for r in want.select("id_customer", "id_polig_evento").collect()}
+    for r in rows:
+        if r["polig_customer"] is None:
+            assert r["percentage_area_affected"] is None                     # PR12: points get null
+        if r["is_in_event"]:
+            assert r["distance_to_event"] is None                            # PR11: only outside
+        elif r["latitude"] is not None or r["polig_customer"] is not None:
+            assert r["distance_to_event"] is not None and r["distance_to_event"] > 0
+    with pytest.raises(ValueError):
+        spatial.impact_table(c, e, max_event_rows=1)
