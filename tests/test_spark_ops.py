@@ -231,3 +231,9 @@ def test_full_impact_table_consistent(spark):
             assert r["distance_to_event"] is not None and r["distance_to_event"] > 0
     with pytest.raises(ValueError):
         spatial.impact_table(c, e, max_event_rows=1)
+
+
+def test_global_rank_is_dense_and_ordered(spark):
+    df = spark.range(0, 3000, 7).select((F.col("id") * 3).alias("k"))
+    got = [(r["k"], r["r"]) for r in cluster.global_rank(df, "k", "r").orderBy("k").collect()]
+    assert [r for _, r in got] == list(range(len(got)))
