@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ def sized_broadcast(df: DataFrame, rows: int) -> DataFrame:
 def text_chunks(batch: pa.RecordBatch, text_col: str = "text", limit: int = CHUNK_BYTES):
     """Row ranges ``(first, last)`` of a batch, each of about ``limit`` bytes of text (one
     longer text makes a range of its own)."""
-    sizes = pa.compute.binary_length(batch.column(text_col)).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(text_col)).fill_null(0).to_numpy(zero_copy_only=False)
     first, total = 0, 0
     for i, n in enumerate(sizes):
         if total and total + n > limit:
