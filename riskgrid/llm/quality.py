@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from riskgrid.llm.common import documents, text_chunks
+from riskgrid.llm.common import documents, text_chunks, written
 from riskgrid.llm.textkernel import Words, buffers, repeated
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -183,7 +183,7 @@ def verdicts(model: tuple[float, np.ndarray], prefix: str = "") -> tuple[Column,
 def judge(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``FEATURES``, ``base_failed``, ``p_good``, ``kept`` by document row."""
     # one pass over the texts; the slim features are read twice
-    table = measured(docs, ["doc_id"]).checkpoint()
+    table = written(measured(docs, ["doc_id"]))
     base_failed, p_good, kept = verdicts(fit(table))
     return table.withColumns({"base_failed": base_failed, "p_good": p_good, "kept": kept})
 
