@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -62,3 +64,44 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/riskgrid-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def id_splits(docs: DataFrame, part_bytes: int, most: int = 20_000) -> list[int]:
+    """Ascending ``doc_id`` values that cut the table into runs of about ``part_bytes`` of text; the list
+    has as many entries as there are partitions, whatever they hold."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = min(most, -(-total // part_bytes))
+    if n < 2:
+        return []
+    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(1, n)],
+                                         max(10_000, 10 * n))).first()[0]
+    return sorted(set(found or []))
+
+
+def in_runs(docs: DataFrame, splits: list[int], lead: bool = False) -> DataFrame:
+    """``docs`` hash-partitioned by ``run``, the number of splits up to the ``doc_id`` (nulls: run 0), and
+    sorted by run, ``lead`` and doc_id inside a partition.  With ``lead``, the first document of each run
+    (of run 0 after the last) also ends the run before it, in a row with ``lead`` true."""
+    ids = F.col("doc_id").cast("long")
+    low = docs.agg(F.min(ids), F.count(F.lit(1)) - F.count("doc_id")).first() if lead else (None, 0)
+    # nulls come first: with any, they are what follows the last document
+    least = None if low[1] else low[0]
+    edges = np.array([s for s in splits if least is None or s > least], np.int64)
+
+    @F.pandas_udf("array<int>")
+    def runs(doc_id: pd.Series) -> pd.Series:
+        nulls = doc_id.isna().to_numpy()
+        values = doc_id.fillna(0).astype("int64").to_numpy()
+        run = np.where(nulls, 0, np.searchsorted(edges, values, side="right"))
+        first = nulls if least is None else (values == least) & ~nulls
+        first = first | (np.isin(values, edges) & ~nulls & (run > 0))
+        return pd.Series([[r, -1 if not f else (r - 1 if r else len(edges))] for r, f in zip(run, first, strict=True)])
+
+    placed = docs.withColumn("__runs", runs(ids))
+    if lead:
+        placed = (placed.select("*", F.posexplode("__runs").alias("__pos", "run")).where("run >= 0")
+                  .withColumn("lead", F.col("__pos") == 1).drop("__pos"))
+    else:
+        placed = placed.withColumn("run", F.col("__runs")[0]).withColumn("lead", F.lit(False))
+    return (placed.drop("__runs").repartition(max(partitions(docs), len(splits) + 1), "run")
+            .sortWithinPartitions("run", "lead", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()))
