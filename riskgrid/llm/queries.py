@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskgrid.llm import fingerprint, mixing, near_dedup, quality, sharding, url_filter
+from riskgrid.llm import bpe, fingerprint, mixing, near_dedup, quality, sharding, url_filter
 from riskgrid.llm.common import prepare
 
 
@@ -16,6 +16,7 @@ def _prepared(fn):
 
 REGISTRY = {name: (_prepared(fn), sql) for name, (fn, sql) in {
     "op2_source_mixing": (mixing.query, mixing.SQL),
+    "op3_bpe_codec": (bpe.query, None),
     "op4_merkle_fingerprint": (fingerprint.query, None),
     "op5_near_dedup": (near_dedup.query, None),
     "op6_quality_votes": (quality.query, None),
