@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskgrid.llm import bpe, fingerprint, mixing, near_dedup, quality, sharding, url_filter
+from riskgrid.llm import bpe, fingerprint, mixing, near_dedup, quality, sharding, suffix_dedup, url_filter
 from riskgrid.llm.common import prepare
 
 
@@ -15,6 +15,7 @@ def _prepared(fn):
 
 
 REGISTRY = {name: (_prepared(fn), sql) for name, (fn, sql) in {
+    "op1_suffix_dedup": (suffix_dedup.query, None),
     "op2_source_mixing": (mixing.query, mixing.SQL),
     "op3_bpe_codec": (bpe.query, None),
     "op4_merkle_fingerprint": (fingerprint.query, None),
