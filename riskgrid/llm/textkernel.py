@@ -16,6 +16,9 @@ _RNG = np.random.default_rng(20240607)
 BYTE_CODES = _RNG.integers(1, MASK, 256, dtype=np.uint64)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: ASCII but letters and digits: the separators of plain words.
+IS_MARK = np.ones(256, bool)
+IS_MARK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -75,12 +78,12 @@ class Words:
     """The words of all texts: ``start``, ``end`` (byte positions), ``doc``, ``hash``; ``first`` and
     ``count`` by text."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = False, apart: np.ndarray = IS_SPACE):
         n = len(data)
         if fold:
             data = LOWER[data]
         self.data, self.offsets = data, offsets
-        inside = ~IS_SPACE[data]
+        inside = ~apart[data]
         begin, stop = inside.copy(), inside.copy()
         begin[1:] &= ~inside[:-1]
         stop[:-1] &= ~inside[1:]
