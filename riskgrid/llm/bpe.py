@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from riskgrid.llm.common import documents, text_chunks
-from riskgrid.llm.pretokens import Pretokens, byte_letters, token_bytes, vocabulary
+from riskgrid.llm.pretokens import Pretokens, byte_letters, flattened, token_bytes, vocabulary
 from riskgrid.llm.textkernel import buffers
 
 #: Bytes that a window holds besides the lookahead, and pretokens that a worker remembers.
-WINDOW, MEMO = 4096, 200_000
+WINDOW, MEMO = 4096, 400_000
 
 
 def vocabulary_path() -> str:
@@ -52,6 +52,8 @@ class Merges:
         for r, (a, b) in enumerate(spec["merges"]):
             self.rank[ids[a], ids[b]] = (r, ids[a + b])
             self.rules.append((token_bytes(a), token_bytes(b)))
+        #: rank and new id in one number
+        self.packed = {p: r << 32 | new for p, (r, new) in self.rank.items()}
         self.bytes = {i: token_bytes(t) for t, i in ids.items() if t not in self.special}
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
 
@@ -61,20 +63,19 @@ class Merges:
         return self._short(ids) if len(ids) <= 64 else self._long(ids)
 
     def _short(self, ids: list[int]) -> list[int]:
-        rank = self.rank
-        while len(ids) > 1:
-            best = min((rank[p] for p in zip(ids, ids[1:]) if p in rank), default=None)
-            if best is None:
+        get, none = self.packed.get, 1 << 62
+        ranks = [get(p, none) for p in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            new, out, i, n = best[1], [], 0, len(ids)
-            while i < n:
-                if i + 1 < n and rank.get((ids[i], ids[i + 1])) == best:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = ranks.index(best)
+            ids[i:i + 2] = [best & 0xFFFFFFFF]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), none)
         return ids
 
     def _long(self, ids: list[int]) -> list[int]:
@@ -236,9 +237,7 @@ def encode_rows(docs: DataFrame, carry: list[str], path: str | None = None, dige
                 if digests:
                     cols = _digests(enc, p, distinct, index)
                 else:
-                    sizes = np.array([len(x) for x in distinct], np.int64)
-                    total = np.concatenate(([0], np.cumsum(sizes[index] if len(index) else sizes)))
-                    flat = np.fromiter((i for k in index.tolist() for i in distinct[k]), np.int32, int(total[-1]))
+                    flat, total = flattened(distinct, index)
                     ends = total[p.first]
                     cols = [pa.array(np.diff(ends)),
                             pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))]

@@ -91,6 +91,16 @@ class Pretokens:
         return np.unique(self.hash, return_index=True, return_inverse=True)
 
 
+def flattened(distinct: list, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all pretokens in order (``distinct`` ids by ``index``), and where each pretoken ends."""
+    sizes = np.array([len(x) for x in distinct], np.int64)
+    ids = np.fromiter((i for x in distinct for i in x), np.int32, int(sizes.sum()))
+    first = np.cumsum(sizes) - sizes
+    ends = np.cumsum(sizes[index])
+    step = np.repeat(first[index] - (ends - sizes[index]), sizes[index])
+    return ids[step + np.arange(len(step))], np.concatenate(([0], ends))
+
+
 @functools.cache
 def vocabulary(path: str) -> dict:
     """``model`` and added tokens of a tokenizer file."""

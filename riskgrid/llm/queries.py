@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskgrid.llm import bpe, fingerprint, mixing, near_dedup, quality, sharding, suffix_dedup, toxicity, url_filter
+from riskgrid.llm import bpe, fingerprint, mixing, near_dedup, quality, sharding, suffix_dedup, token_files, toxicity, url_filter
 from riskgrid.llm.common import prepare
 
 
@@ -22,6 +22,7 @@ REGISTRY = {name: (_prepared(fn), sql) for name, (fn, sql) in {
     "op5_near_dedup": (near_dedup.query, None),
     "op6_quality_votes": (quality.query, None),
     "op7_url_filter": (url_filter.query, url_filter.SQL),
+    "op8_token_files": (token_files.query, None),
     "op9_toxicity_neighbours": (toxicity.query, None),
     "op10_byte_shards": (sharding.query, sharding.SQL),
 }.items()}

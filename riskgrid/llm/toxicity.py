@@ -146,7 +146,7 @@ class BlockMaxIndex:
         self.slices = np.searchsorted(key, np.arange(len(idf) * self.blocks + 1))
         self.most = np.zeros(len(idf) * self.blocks)
         np.maximum.at(self.most, key, self.weight)
-        self.most = self.most.reshape(len(idf), -1)
+        self.most = self.most.reshape(len(idf), self.blocks)
 
     def nearest(self, which: np.ndarray, q: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Vectors and similarities of the ``k`` nearest examples (more with equal ones), most similar first; one
