@@ -6,9 +6,11 @@ at most ``2 * CHUNKS - 1`` symbols have a chunk with at most one error; the keys
 i-th symbol" enumerate those errors, so every pair under the signature threshold meets in a
 bucket (and a pair of similarity 0.8 fails to meet with probability 1.6e-6).
 
-Work per bucket stays linear: equal shingle sets are first collapsed to one class, each class is
-compared with a hub of its bucket, links are confirmed on the full sets, and linked classes fall
-together.  Only buckets that still hold several components are looked at again, with another
+Work per bucket stays linear: equal shingle sets are first collapsed to one class.  Shingles that no
+other class of any bucket has can't be shared, which bounds a class's similarity to all others; most edited
+copies drop out by that bound.  The others are compared with a hub of their bucket (the class with the least
+part of such shingles: an original rather than a copy), links are confirmed on the full sets, and linked
+classes fall together.  Only buckets that still hold several components are looked at again, with another
 hub; what is left when that brings little is compared pair by pair, between different components only.
 Pairs inside a component can't change the result.
 
@@ -36,28 +38,36 @@ SHINGLE_WORDS = 4
 PERCENT = 80
 CHUNKS, WIDTH = 10, 5
 SYMBOLS = CHUNKS * WIDTH
-#: Two signatures over this distance aren't compared pair by pair: at similarity 0.8 the distance
-#: is over 27 with probability 1e-8.
-FAR = 27
+#: Bits of the finer signature for what is left to compare pair by pair, and its largest distance: at
+#: similarity 0.8 the distance (on average 102) is over it with probability 5e-6.
+BITS, FAR = 1024, 145
 #: Pairs by class at which the rest is compared pair by pair.
 FEW_PAIRS = 4
 
 _RNG = np.random.default_rng(977)
-_FACTORS = _RNG.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_OFFSETS = _RNG.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
+_FACTORS = _RNG.integers(1, 1 << 63, SYMBOLS + BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OFFSETS = _RNG.integers(0, 1 << 63, SYMBOLS + BITS, dtype=np.uint64)
 
 SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, signature array<short>"
 
 
-def signature(sets: list[np.ndarray]) -> np.ndarray:
-    """16-bit MinHash symbols, a row by (not empty) set."""
+def minima(sets: list[np.ndarray], which: range):
+    """By hash function, the scrambled MinHash values of the (not empty) sets."""
     values = np.concatenate(sets)
     cuts = np.concatenate(([0], np.cumsum([len(s) for s in sets[:-1]]))).astype(np.int64)
-    out = np.empty((len(sets), SYMBOLS), np.int16)
-    for j in range(SYMBOLS):
-        least = np.minimum.reduceat(values * _FACTORS[j] + _OFFSETS[j], cuts)
-        out[:, j] = mixed(least).view(np.int16).reshape(-1, 4)[:, 0]
-    return out
+    for j in which:
+        yield mixed(np.minimum.reduceat(values * _FACTORS[j] + _OFFSETS[j], cuts))
+
+
+def signature(sets: list[np.ndarray]) -> np.ndarray:
+    """16-bit symbols, a row by set."""
+    return np.stack([x.astype(np.uint16) for x in minima(sets, range(SYMBOLS))], 1).view(np.int16)
+
+
+def fine_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """One bit a hash function, packed in 64-bit words, a row by set."""
+    bits = np.stack([x & np.uint64(1) for x in minima(sets, range(SYMBOLS, SYMBOLS + BITS))], 1).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.int64)
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -99,6 +109,30 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
 
 
+def unshared(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """``rep, d1, alone``: how many shingles of each class no other one has (none: no row)."""
+    def run(batches):
+        for batch in batches:
+            for first, last in text_chunks(batch):
+                part = batch.slice(first, last - first)
+                sets = Words(*buffers(part.column("text").fill_null("")), fold=True).shingles(k)
+                # a document can have other texts than that of the class
+                ours = [i for i, (s, d1) in enumerate(zip(sets, part.column("d1").to_pylist(), strict=True))
+                        if int(s.sum().view(np.int64)) == d1]
+                row = pa.array(np.repeat(np.array(ours, np.int64), [len(sets[i]) for i in ours]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(row), part.column("d1").take(row),
+                     pa.array(np.concatenate([sets[i] for i in ours] or [np.zeros(0, np.uint64)]).view(np.int64))],
+                    ["rep", "d1", "shingle"])
+
+    wanted = classes.select(F.col("rep").alias("doc_id"), "d1")
+    texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+             .join(sized_broadcast(wanted, classes.count()), "doc_id"))
+    once = (texts.mapInArrow(run, "rep long, d1 long, shingle long").groupBy("shingle")
+            .agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep"), F.min("d1").alias("d1")).where("c = 1"))
+    return once.groupBy("rep", "d1").agg(F.count(F.lit(1)).alias("alone"))
+
+
 def bucketed(classes: DataFrame) -> DataFrame:
     """``key`` rows of each class: every chunk without each of its symbols in turn."""
     keys = []
@@ -154,17 +188,26 @@ def labelled(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` by row."""
     rows = written(signed(docs, k))
     real = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = written(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"),
-                                                  F.first("signature").alias("signature")))
-    member = bucketed(classes).select("key", "rep", "n")
+    every = written(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"),
+                                                 F.first("signature").alias("signature")))
+    # classes that share a bucket with another one, and what they can share with it
+    keys = bucketed(every).select("key", "rep", "d1")
+    met = (keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key").join(keys, "key")
+           .select("rep", "d1").distinct())
+    pool = written(every.join(met, ["rep", "d1"]))
+    classes = written(pool.join(unshared(docs, pool, k), ["rep", "d1"], "left")
+                      .withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+                      .where(F.col("most") * 100 >= F.col("n") * PERCENT))
+    member = bucketed(classes).select("key", "rep", "n", "most")
     n_classes = classes.count()
 
-    # round 0: each class with the smallest class of its bucket
-    hubs = (member.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("c"))
+    # round 0: each class with the hub of its bucket
+    rank = F.struct((1 - F.col("most") / F.col("n")).alias("alone"), "rep", "n", "most")
+    hubs = (member.groupBy("key").agg(F.min(rank).alias("hub"), F.count(F.lit(1)).alias("c"))
             .where("c > 1").select("key", "hub"))
     edges = confirmed(docs, _sized_pairs(member.join(hubs, "key")), k).checkpoint()
     # a document with several rows is one vertex
-    rep_of = real.join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "rep").distinct()
+    rep_of = real.join(every.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "rep").distinct()
     own = rep_of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1")
     edges = edges.union(own.join(rep_of, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b"))
 
@@ -177,28 +220,30 @@ def labelled(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
             break
         turn += 1
         if pairs_left <= FEW_PAIRS * n_classes or (left_before is not None and pairs_left > left_before * 0.8):
-            found = confirmed(docs, _close_pairs(open_rows), k)
+            found = confirmed(docs, _close_pairs(docs, open_rows, k), k)
             labels = components(edges.union(found).checkpoint())
             break
         left_before = pairs_left
         order = F.xxhash64(F.lit(turn), "rep")
-        hubs = open_rows.groupBy("key").agg(F.min_by(F.struct("rep", "n", "label"), order).alias("hub"))
+        hubs = open_rows.groupBy("key").agg(F.min_by(F.struct("rep", "n", "most", "label"), order).alias("hub"))
         found = confirmed(docs, _sized_pairs(open_rows.join(hubs, "key").where("label <> hub.label")), k)
         edges = edges.union(found).checkpoint()
 
-    named = (rows.join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left")
+    named = (rows.join(every.select("d1", "d2", "rep"), ["d1", "d2"], "left")
              .join(labels.withColumnRenamed("v", "rep"), "rep", "left"))
     return named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "rep"))
                         .otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _fits(a, b):
-    """Sizes at which the sets can share enough."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+def _fits(n_a, most_a, n_b, most_b):
+    """Whether the sets can share enough: at most ``most`` of each one's shingles."""
+    common = F.least(most_a, most_b)
+    return common * 100 >= (n_a + n_b - common) * PERCENT
 
 
 def _sized_pairs(with_hub: DataFrame) -> DataFrame:
-    return (with_hub.where((F.col("rep") != F.col("hub.rep")) & _fits(F.col("n"), F.col("hub.n")))
+    return (with_hub.where((F.col("rep") != F.col("hub.rep"))
+                           & _fits(F.col("n"), F.col("most"), F.col("hub.n"), F.col("hub.most")))
             .select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct())
 
 
@@ -206,10 +251,10 @@ def _open(classes: DataFrame, labels: DataFrame) -> DataFrame:
     """The bucket rows (with labels and signatures) of buckets that hold several components."""
     now = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn(
         "label", F.coalesce("label", "rep"))
-    rows = bucketed(now).select("key", "rep", "n", "label")
+    rows = bucketed(now).select("key", "rep", "n", "most", "label")
     several = (rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
                .where("x <> y").select("key"))
-    return written(rows.join(several, "key").join(classes.select("rep", "signature").dropDuplicates(["rep"]), "rep"))
+    return written(rows.join(several, "key"))
 
 
 def _cross_pairs(open_rows: DataFrame) -> int:
@@ -218,13 +263,29 @@ def _cross_pairs(open_rows: DataFrame) -> int:
     return by_key.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
 
 
-def _close_pairs(open_rows: DataFrame) -> DataFrame:
-    """Pairs of one bucket, of different components, with sizes and signatures close enough."""
-    a, b = open_rows.alias("a"), open_rows.alias("b")
+def _close_pairs(docs: DataFrame, open_rows: DataFrame, k: int) -> DataFrame:
+    """Pairs of one bucket, of different components, with sizes and fine signatures close enough."""
+    def run(batches):
+        for batch in batches:
+            for first, last in text_chunks(batch):
+                part = batch.slice(first, last - first)
+                sets = Words(*buffers(part.column("text").fill_null("")), fold=True).shingles(k)
+                full = [i for i, s in enumerate(sets) if len(s)]
+                bits = fine_bits([sets[i] for i in full]) if full else np.zeros((0, BITS // 64), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(pa.array(full, pa.int64())),
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * (BITS // 64)),
+                                              pa.array(bits.reshape(-1)))], ["rep", "bits"])
+
+    reps = open_rows.select(F.col("rep").alias("doc_id")).distinct()
+    texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+             .join(sized_broadcast(reps, reps.count()), "doc_id", "left_semi"))
+    signed_rows = written(open_rows.join(texts.mapInArrow(run, "rep long, bits array<long>"), "rep"))
+    a, b = signed_rows.alias("a"), signed_rows.alias("b")
     errors = functools.reduce(operator.add, [
-        (F.col("a.signature")[j] != F.col("b.signature")[j]).cast("int") for j in range(SYMBOLS)])
+        F.bit_count(F.col("a.bits")[j].bitwiseXOR(F.col("b.bits")[j])) for j in range(BITS // 64)])
     return (a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label"))
-                   & _fits(F.col("a.n"), F.col("b.n")) & (errors <= FAR))
+                   & _fits(F.col("a.n"), F.col("a.most"), F.col("b.n"), F.col("b.most")) & (errors <= FAR))
             .select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct())
 
 
