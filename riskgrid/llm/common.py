@@ -67,10 +67,10 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def id_splits(docs: DataFrame, part_bytes: int, most: int = 20_000) -> list[int]:
-    """Ascending ``doc_id`` values that cut the table into runs of about ``part_bytes`` of text; the list
-    has as many entries as there are partitions, whatever they hold."""
+    """Ascending ``doc_id`` values that cut the table into runs of at most about ``part_bytes`` of text, and at
+    least two runs a shuffle partition; the list's length hangs on the number of partitions only."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = min(most, -(-total // part_bytes))
+    n = min(most, max(-(-total // part_bytes), 2 * partitions(docs)))
     if n < 2:
         return []
     found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(1, n)],

@@ -280,12 +280,16 @@ def _close_pairs(docs: DataFrame, open_rows: DataFrame, k: int) -> DataFrame:
     reps = open_rows.select(F.col("rep").alias("doc_id")).distinct()
     texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
              .join(sized_broadcast(reps, reps.count()), "doc_id", "left_semi"))
-    signed_rows = written(open_rows.join(texts.mapInArrow(run, "rep long, bits array<long>"), "rep"))
+    # at most SYMBOLS keys a class
+    keys = open_rows.groupBy("rep").agg(F.collect_set("key").alias("keys"))
+    signed_rows = written(open_rows.join(texts.mapInArrow(run, "rep long, bits array<long>").join(keys, "rep"), "rep"))
     a, b = signed_rows.alias("a"), signed_rows.alias("b")
     errors = functools.reduce(operator.add, [
         F.bit_count(F.col("a.bits")[j].bitwiseXOR(F.col("b.bits")[j])) for j in range(BITS // 64)])
     return (a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label"))
-                   & _fits(F.col("a.n"), F.col("a.most"), F.col("b.n"), F.col("b.most")) & (errors <= FAR))
+                   & _fits(F.col("a.n"), F.col("a.most"), F.col("b.n"), F.col("b.most")) & (errors <= FAR)
+                   # once: in the bucket of the least common key
+                   & (F.col("a.key") == F.array_min(F.array_intersect("a.keys", "b.keys"))))
             .select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct())
 
 
