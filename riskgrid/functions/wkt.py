@@ -33,7 +33,7 @@ _COORDS = "array<array<array<array<double>>>>"
 
 def parse_wkt(wkt: Column) -> Column:
     """GE1: WKT string -> geometry struct.  Null in, null out; text that does not parse
-    gives no parts (and a null bbox).
+    gives null (GE1 rejects it; it is never rewritten).
 
     The body is rewritten to JSON ('(x y z, ...)' -> '[[x,y], ...]', Z and M dropped)
     and read with one ``from_json`` into part -> ring -> vertex, whatever the kind."""
@@ -47,6 +47,10 @@ def parse_wkt(wkt: Column) -> Column:
 
 def _parse(kb: Column) -> Column:
     kind, body = kb["kind"], kb["body"]
+    # numbers as JSON writes them: no sign +, a digit on both sides of the point
+    body = F.regexp_replace(body, r"(^|[\s(,])\+", "$1")
+    body = F.regexp_replace(body, r"(^|[\s(,-])\.(?=[0-9])", "$10.")
+    body = F.regexp_replace(body, r"([0-9])\.(?![0-9])", "$1.0")
     j = F.regexp_replace(body, rf"({_NUM})\s+({_NUM})(?:\s+{_NUM})*", "[$1,$2]")
     j = F.translate(j, "()", "[]")
     # '(x y)' and '(x y, ...)' are already a ring level: '[[x,y], ...]'
@@ -60,7 +64,8 @@ def _parse(kb: Column) -> Column:
         r, lambda v: F.struct(v[0].alias("x"), v[1].alias("y")))))
     empty = body.rlike("^EMPTY") | (F.length(body) == 0)
     parts = F.when(empty, F.array().cast("array<array<array<struct<x:double,y:double>>>>")).otherwise(parts)
-    return with_bbox(F.struct(kind.alias("kind"), parts.alias("parts"), (kb["has_z"] & ~empty).alias("has_z")))
+    read = empty | coords.isNotNull()
+    return F.when(read, with_bbox(F.struct(kind.alias("kind"), parts.alias("parts"), (kb["has_z"] & ~empty).alias("has_z"))))
 
 
 def xs(geom: Column) -> Column:

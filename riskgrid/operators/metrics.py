@@ -1,8 +1,9 @@
 """Cluster-quality metrics over labelled points (AG7b, AG7c, AG9, AG10, ST3, FI9).
 
-Everything is per-cluster sums: centroids by ``groupBy``, spreads by a join of the
-points with their centroid, so the work is linear in the points.  Davies-Bouldin
-compares centroid pairs; the centroid table is counted first and must be small.
+Everything is per-cluster sums: centroids by ``groupBy``, spreads by a join of the points with their centroid
+(broadcast when the centroids, counted, are few; else a shuffle that AQE splits), so the work is linear in the
+points.  Davies-Bouldin looks for each centroid's worst neighbour on a grid that widens until no farther
+centroid can be worse.
 """
 
 from __future__ import annotations
@@ -10,13 +11,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_CENTROID_PAIRS_K = 20_000
+from riskgrid.operators.cluster import global_rank
+
+#: Centroid rows (fixed-width columns) that may be broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def _xy(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.withColumn("_mx", F.col(x).cast("double")).withColumn("_my", F.col(y).cast("double"))
 
 
+def _worst_neighbours(cent: DataFrame, by: list[str]) -> DataFrame:
+    """``_i, _r``: max over j of (S_i + S_j) / d(c_i, c_j), without all pairs (0 between equal centroids).
+
+    A centroid compared with all others up to a distance g is done when (S_i + S_max) / g is no more than
+    what it has found; the others go on with a grid twice as wide, until it holds everything."""
+    lim = cent.agg(F.min("_cx"), F.max("_cx"), F.min("_cy"), F.max("_cy"), F.max("_s"), F.count(F.lit(1))).first()
+    if not lim[5]:
+        return cent.select(*by, "_i", F.lit(None).cast("double").alias("_r"))
+    x0, x1, y0, y1, s_max, k = lim
+    extent = max(x1 - x0, y1 - y0)
+    g = max(extent / max(1.0, k ** 0.5), 1e-9)
+    todo, done = cent, None
+    while True:
+        whole = g >= extent
+        at = {"_gx": F.floor((F.col("_cx") - F.lit(x0)) / g), "_gy": F.floor((F.col("_cy") - F.lit(y0)) / g)}
+        around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        a = (todo.withColumns(at).withColumn("_n", F.explode(around))
+             .withColumns({"_gx": F.col("_gx") + F.col("_n.i"), "_gy": F.col("_gy") + F.col("_n.j")}).drop("_n"))
+        b = cent.withColumns(at).withColumnsRenamed({"_i": "_j", "_cx": "_bx", "_cy": "_by", "_s": "_bs"})
+        d = F.sqrt((F.col("_cx") - F.col("_bx")) ** 2 + (F.col("_cy") - F.col("_by")) ** 2)
+        found = (a.join(b, by + ["_gx", "_gy"]).where("_i <> _j").withColumn("_d", d)
+                 .groupBy(*by, "_i").agg(F.max(F.when(F.col("_d") > 0, (F.col("_s") + F.col("_bs")) / F.col("_d")).otherwise(0.0))
+                                         .alias("_r")))
+        seen = todo.join(found, by + ["_i"], "left").checkpoint(eager=True)
+        ready = F.lit(True) if whole else F.coalesce((F.col("_s") + F.lit(s_max)) / g <= F.col("_r"), F.lit(False))
+        part = seen.where(ready).select(*by, "_i", "_r")
+        done = part if done is None else done.unionByName(part)
+        todo = seen.where(~ready).drop("_r")
+        if whole or todo.limit(1).count() == 0:
+            return done
+        g *= 2
+
+
 def centroid_metrics(points: DataFrame, label: str = "cluster", x: str = "longitude", y: str = "latitude",
                      by: list[str] | None = None) -> DataFrame:
     """Calinski-Harabasz and Davies-Bouldin per ``by`` group (one row when ``by`` is empty).
@@ -29,22 +66,15 @@ def centroid_metrics(points: DataFrame, label: str = "cluster", x: str = "longit
     tot = p.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_mx").alias("_ox"), F.avg("_my").alias("_oy"))
     k = cent.groupBy(*by).agg(F.count(F.lit(1)).alias("k"))
     # within: squared distances and plain distances to the own centroid
-    pj = p.join(cent, by + [label])
+    cent = cent.checkpoint(eager=True)
+    pj = p.join(F.broadcast(cent) if cent.count() <= BROADCAST_ROWS else cent, by + [label])
     dx, dy = F.col("_mx") - F.col("_cx"), F.col("_my") - F.col("_cy")
     within = pj.groupBy(*by, label).agg(F.sum(dx * dx + dy * dy).alias("_w"), F.avg(F.sqrt(dx * dx + dy * dy)).alias("_s"))
-    cw = cent.join(within, by + [label])
+    cw = cent.join(within, by + [label]).checkpoint(eager=True)
     between = cw.join(tot, by) if by else cw.crossJoin(F.broadcast(tot))
     bx, byy = F.col("_cx") - F.col("_ox"), F.col("_cy") - F.col("_oy")
     sums = between.groupBy(*by).agg(F.sum(F.col("_ni") * (bx * bx + byy * byy)).alias("B"), F.sum("_w").alias("W"))
-    # Davies-Bouldin over centroid pairs (bounded: checked before the self join)
-    n_cent = cent.count()
-    if n_cent > MAX_CENTROID_PAIRS_K:
-        raise ValueError(f"{n_cent} centroids: Davies-Bouldin needs centroid pairs; above {MAX_CENTROID_PAIRS_K}")
-    a = cw.select(*by, F.col(label).alias("_i"), F.col("_cx").alias("_ax"), F.col("_cy").alias("_ay"), F.col("_s").alias("_as"))
-    b = cw.select(*by, F.col(label).alias("_j"), F.col("_cx").alias("_bx"), F.col("_cy").alias("_by"), F.col("_s").alias("_bs"))
-    pairs = (a.join(b, by) if by else a.crossJoin(b)).filter(F.col("_i") != F.col("_j"))
-    dist = F.sqrt((F.col("_ax") - F.col("_bx")) ** 2 + (F.col("_ay") - F.col("_by")) ** 2)
-    r = pairs.groupBy(*by, "_i").agg(F.max((F.col("_as") + F.col("_bs")) / dist).alias("_r"))
+    r = _worst_neighbours(cw.select(*by, F.col(label).alias("_i"), "_cx", "_cy", "_s"), by)
     db = r.groupBy(*by).agg(F.avg("_r").alias("davies_bouldin"))
     out = tot.join(k, by) if by else tot.crossJoin(k)
     out = (out.join(sums, by) if by else out.crossJoin(sums))
@@ -57,16 +87,18 @@ def centroid_metrics(points: DataFrame, label: str = "cluster", x: str = "longit
 def top_labels(labelled: DataFrame, label: str = "label_all", n: int | None = None) -> DataFrame:
     """AG10 + ST3: distinct non-noise labels ascending with their rank (first ``n`` when given)."""
     d = labelled.filter(F.col(label) != -1).select(F.col(label).alias("label")).distinct()
-    d = d.withColumn("rank", F.dense_rank().over(Window.orderBy("label")))
-    return d.filter(F.col("rank") <= n) if n else d
+    if n:
+        # the n smallest: a top-n, not a sort of all labels in one task
+        return d.orderBy("label").limit(n).withColumn("rank", F.row_number().over(Window.orderBy("label")))
+    return global_rank(d, "label", "rank").withColumn("rank", F.col("rank") + 1)
 
 
 def metric_sweep(points_all: DataFrame, n_values=range(2, 11), label_all: str = "label_all",
                  label: str = "cluster") -> DataFrame:
     """AG9: for each n, the points whose all-points label is among the first n labels (FI9),
     scored on their per-user labels; one job with ``n`` as a group key."""
-    ranks = top_labels(points_all, label_all).withColumnRenamed("label", label_all)
-    p = points_all.join(F.broadcast(ranks.filter(F.col("rank") <= max(n_values))), label_all)
+    ranks = top_labels(points_all, label_all, max(n_values)).withColumnRenamed("label", label_all)
+    p = points_all.join(F.broadcast(ranks), label_all)        # at most max(n_values) rows
     ns = F.array(*[F.lit(v) for v in n_values])
     p = p.withColumn("n_clusters", F.explode(F.filter(ns, lambda v: v >= F.col("rank"))))
     return centroid_metrics(p, label=label, by=["n_clusters"])

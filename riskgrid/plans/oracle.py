@@ -97,6 +97,10 @@ STD_EVENTS = f"""std_events AS (
   FROM std_events
 )"""
 
+ALL_2D = f"""all_2d AS (
+  SELECT b.s, {_std_polig()} AS polig FROM ev_box b
+)"""
+
 CUSTOMERS = f"""cust_base AS (
   SELECT c_custkey AS k,
          -540000 + (c_custkey * 7919) % 60000 AS ix,

@@ -7,6 +7,7 @@ rounded the same way on both sides; every computed column is aliased.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from riskgrid.functions import geodesy, wkt
 from riskgrid.operators import events as ev
 from riskgrid.operators import spatial
 from riskgrid.plans import oracle as O
-from riskgrid.schema import CUSTOMER_COLUMNS, RESULT_COLUMNS
+from riskgrid.session import ensure_checkpoint_dir
 from riskgrid.sources import derived, sinks
 
 BAND_KM = 50.0  # distance band of the distance query (JO3)
@@ -39,9 +40,8 @@ def standard_events_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def standard_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The standardised event table as the impact job reads it: written once (SK3) under the
-    shared checkpoint folder, then scanned (SC6)."""
-    return sinks.materialise(standard_events_plan(spark, sf_dir), "std_events", sf_dir)
+    """The standardised event table (SC6) as the impact job reads it; ``prepare_events`` cuts its lineage."""
+    return standard_events_plan(spark, sf_dir)
 
 
 def impact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,9 +57,13 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("tagged_events", O.with_(O.EVENT_BASE, O.RAW_EVENTS)
           + "SELECT tipo_evento, origem, polig, additional_value, data_run FROM raw_events")
 def q_tagged_events(spark, sf_dir):
-    """ST1 + PR1/PR2/PR4: the three hazard tables unioned in the 5-column contract."""
+    """PR1-PR5 + ST1: untagged flood shapes and drought features through the feeders' tagging, unioned with the fire
+    table in the 5-column contract."""
     h = derived.hazard_tables(spark, sf_dir)
-    return ev.tagged_events(h["floods"], h["droughts"], h["fires"])
+    floods = ev.tag_floods(h["floods"].select("polig"), date=derived.RUN_DATE)
+    droughts = ev.tag_droughts(h["droughts"].select(F.col("additional_value").alias("uf_codigo"),
+                                                    F.col("polig").alias("geometry_wkt")), date=derived.RUN_DATE)
+    return ev.tagged_events(floods, droughts, h["fires"])
 
 
 @register("events_union_standardised", O.with_(O.EVENT_BASE, O.STD_EVENTS)
@@ -69,6 +73,17 @@ def q_events_union_standardised(spark, sf_dir):
     return standard_events_plan(spark, sf_dir)
 
 
+@register("round_trip_parquet", O.with_(O.EVENT_BASE, O.STD_EVENTS)
+          + "SELECT tipo_evento, origem, polig, additional_value, data_run, id_polig_evento FROM std_events_id")
+def q_round_trip_parquet(spark, sf_dir):
+    """SK1-SK3, SC5, SC6: the standardised events written by day and read again."""
+    path = f"{ensure_checkpoint_dir(spark)}/events-{uuid.uuid4().hex}"
+    plan = standard_events_plan(spark, sf_dir)
+    if not sinks.write_events(plan, path, partition_by="data_run"):
+        return plan
+    return spark.read.schema(plan.schema).parquet(path).select(*plan.columns)
+
+
 # ------------------------------------------------------------------ customers
 
 @register("customer_geometry", O.with_(O.CUSTOMERS) + f"""
@@ -211,53 +226,82 @@ def q_affected_area_pct(spark, sf_dir):
     c = customers(spark, sf_dir).filter(F.col("polig_customer").isNotNull())
     e = impact_events(spark, sf_dir)
     p = spatial.area_pct_pairs(c, e)
-    p = spatial.attach(p.select("id_customer", "_ek", "percentage_area_affected"), spatial.event_geometry(e), "_ek",
-                       ["id_polig_evento"])
+    p = spatial.attach(p.select("id_customer", "_ek", "percentage_area_affected"), e, ["id_polig_evento"])
     return p.select("id_customer", "id_polig_evento", F.round("percentage_area_affected", 4).alias("percentage_area_affected")) \
         .filter(F.col("percentage_area_affected") != 0)
 
 
-def _point_distance_sql(band_km: float) -> str:
-    in_hole = "(e.shape = 2 AND c.ix > e.hx0 AND c.ix < e.hx1 AND c.iy > e.hy0 AND c.iy < e.hy1)"
-    # nearest point: clamp to the shell box when outside; inside a hole, the nearest hole edge
-    # (equal distances, compared in integer units: lowest latitude, then lowest longitude)
-    dl, dr, db, dt = "(c.ix - e.hx0)", "(e.hx1 - c.ix)", "(c.iy - e.hy0)", "(e.hy1 - c.iy)"
-    m = f"least({dl}, {dr}, {db}, {dt})"
-    qx = (f"CASE WHEN {in_hole} THEN (CASE WHEN {db} = {m} THEN c.ix WHEN {dl} = {m} THEN e.hx0 "
-          f"WHEN {dr} = {m} THEN e.hx1 ELSE c.ix END) ELSE least(greatest(c.ix, e.x0), e.x1) END")
-    qy = (f"CASE WHEN {in_hole} THEN (CASE WHEN {db} = {m} THEN e.hy0 WHEN {dl} = {m} THEN c.iy "
-          f"WHEN {dr} = {m} THEN c.iy ELSE e.hy1 END) ELSE least(greatest(c.iy, e.y0), e.y1) END")
-    not_hit = _HIT.replace("c.shape = 'polygon'", "false")
-    d = O.haversine_sql(O.dval("iy"), O.dval("ix"), O.dval("qy"), O.dval("qx"))
+def _distance_ctes() -> str:
+    """``dist``: customers and events apart, with the km between their nearest points.  All shapes are boxes (a point is
+    one without sides; ``hx``/``hy`` is the hole of an event) in integer units.  On an axis the nearest
+    values are the facing sides, or the lowest common value where the boxes overlap; inside a hole it is the
+    nearest side of the hole (equal distances: lowest latitude, then longitude)."""
+    not_hit = _HIT
+    in_hole = "(shape2 AND bx0 > hx0 AND bx1 < hx1 AND by0 > hy0 AND by1 < hy1)"
+
+    def axis(lo, hi, elo, ehi):
+        c = f"CASE WHEN {hi} < {elo} THEN {hi} WHEN {ehi} < {lo} THEN {lo} ELSE greatest({lo}, {elo}) END"
+        e = f"CASE WHEN {hi} < {elo} THEN {elo} WHEN {ehi} < {lo} THEN {ehi} ELSE greatest({lo}, {elo}) END"
+        return c, e
+
+    (cx, ex), (cy, ey) = axis("bx0", "bx1", "x0", "x1"), axis("by0", "by1", "y0", "y1")
+    side = {"db": ("bx0", "by0", "bx0", "hy0"), "dl": ("bx0", "by0", "hx0", "by0"), "dr": ("bx1", "by0", "hx1", "by0"),
+            "dt": ("bx0", "by1", "bx0", "hy1")}
+
+    def pick(i, outside):
+        return (f"CASE WHEN {in_hole} THEN CASE least(dl, dr, db, dt) " + " ".join(
+            f"WHEN {k} THEN {v[i]}" for k, v in side.items()) + f" END ELSE {outside} END")
+
+    d = O.haversine_sql(O.dval("cy"), O.dval("cx"), O.dval("ey"), O.dval("ex"))
     return O.with_(O.EVENT_BASE, O.STD_EVENTS, O.CUSTOMERS) + f"""
-, near AS (
-  SELECT c.id_customer, e.id_polig_evento, c.ix, c.iy, {qx} AS qx, {qy} AS qy
-  FROM customers c JOIN std_events_id e ON c.shape = 'point' AND NOT {not_hit}
+, boxed AS (
+  SELECT * REPLACE (CASE WHEN shape = 'point' THEN ix ELSE bx0 END AS bx0, CASE WHEN shape = 'point' THEN ix ELSE bx1 END AS bx1,
+                    CASE WHEN shape = 'point' THEN iy ELSE by0 END AS by0, CASE WHEN shape = 'point' THEN iy ELSE by1 END AS by1)
+  FROM customers
+), apart AS (
+  SELECT c.id_customer, e.id_polig_evento, c.bx0, c.bx1, c.by0, c.by1, e.x0, e.x1, e.y0, e.y1, e.hx0, e.hx1, e.hy0, e.hy1,
+         e.shape = 2 AS shape2, c.bx0 - e.hx0 AS dl, e.hx1 - c.bx1 AS dr, c.by0 - e.hy0 AS db, e.hy1 - c.by1 AS dt
+  FROM boxed c JOIN std_events_id e ON c.shape IN ('point', 'polygon') AND NOT {not_hit}
+), near AS (
+  SELECT id_customer, id_polig_evento, {pick(0, cx)} AS cx, {pick(1, cy)} AS cy, {pick(2, ex)} AS ex, {pick(3, ey)} AS ey FROM apart
 ), dist AS (
   SELECT id_customer, id_polig_evento, {d} AS d FROM near
 )
-SELECT id_customer, id_polig_evento, round(d, 6) AS distance_to_event FROM dist WHERE d <= {band_km!r}"""
+"""
+
+
+@register("nearest_event", _distance_ctes() + f""", inside AS (
+  SELECT c.id_customer, e.id_polig_evento, 0.0 AS d FROM customers c JOIN std_events_id e ON {_HIT}
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY id_customer ORDER BY d, id_polig_evento) AS r
+  FROM (SELECT * FROM dist UNION ALL SELECT * FROM inside) t
+)
+SELECT c.id_customer, round(r.d, 6) AS distance_to_event FROM customers c
+LEFT JOIN (SELECT * FROM ranked WHERE r = 1) r ON r.id_customer = c.id_customer""")
+def q_nearest_event(spark, sf_dir):
+    """JO3 in full: km from every customer to its nearest event, however far (0 inside one)."""
+    n = spatial.nearest_event(customers(spark, sf_dir), impact_events(spark, sf_dir))
+    return n.select("id_customer", F.round("distance_to_event", 6).alias("distance_to_event"))
 
 
-@register("distance_to_event_km", _point_distance_sql(BAND_KM))
+@register("distance_to_event_km", _distance_ctes()
+          + f"SELECT id_customer, id_polig_evento, round(d, 6) AS distance_to_event FROM dist WHERE d <= {BAND_KM!r}")
 def q_distance_to_event_km(spark, sf_dir):
-    """JO3 (point customers): km to every event they are not inside, within the 50 km band.
-    Polygon customers use the same operator through the numpy kernel (tested in pytest)."""
-    c = customers(spark, sf_dir).filter(F.col("polig_customer").isNull())
+    """JO3 as a 50 km band: km from each point or polygon customer to every event it is apart from, in the band."""
     e = impact_events(spark, sf_dir)
-    d = spatial.distance_pairs(c, e, BAND_KM)
-    d = spatial.attach(d.select("id_customer", "_ek", "distance_to_event"), spatial.event_geometry(e), "_ek", ["id_polig_evento"])
+    d = spatial.distance_pairs(customers(spark, sf_dir), e, BAND_KM)
+    d = spatial.attach(d.select("id_customer", "_ek", "distance_to_event"), e, ["id_polig_evento"])
     return d.select("id_customer", "id_polig_evento", F.round("distance_to_event", 6).alias("distance_to_event"))
 
 
 # ------------------------------------------------------------------ geometry functions
 
-@register("first_part_2d", O.with_(O.EVENT_BASE, O.RAW_EVENTS, O.STD_EVENTS) + """
+@register("first_part_2d", O.with_(O.EVENT_BASE, O.RAW_EVENTS, O.ALL_2D) + """
 SELECT r.polig AS polig_raw, s.polig AS polig_2d
-FROM raw_events r JOIN std_events s ON r.s = s.s""")
+FROM raw_events r JOIN all_2d s ON r.s = s.s""")
 def q_first_part_2d(spark, sf_dir):
-    """GE5, GE6, GE7 on the raw hazard polygons ('si' rows left out, as FI1 does first)."""
-    raw = ev.drop_no_data(derived.raw_events(spark, sf_dir))
+    """GE5, GE6, GE7 on all raw hazard polygons."""
+    raw = derived.raw_events(spark, sf_dir)
     return raw.select(F.col("polig").alias("polig_raw"), wkt.standardise_wkt(F.col("polig")).alias("polig_2d"))
 
 
@@ -609,5 +653,5 @@ def q_user_place_hits(spark, sf_dir):
     places = spatial.user_place_customers(cluster.main_cluster(cluster.dbscan_per_user(pings(spark, sf_dir))))
     e = impact_events(spark, sf_dir)
     hits = spatial.intersecting_pairs(places, e)
-    hits = spatial.attach(hits.select("description", "_ek"), e, "_ek", ["id_polig_evento"])
+    hits = spatial.attach(hits.select("description", "_ek"), e, ["id_polig_evento"])
     return hits.select("description", "id_polig_evento")

@@ -1,13 +1,9 @@
-"""Sinks (SK1-SK3) and materialisation of intermediate tables."""
+"""Sinks (SK1-SK3)."""
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame
 
-from riskgrid.session import ensure_checkpoint_dir
-
 
 def write_events(df: DataFrame, path: str, partition_by: str | None = None) -> bool:
     """SK1-SK3: overwrite a parquet event table.  Like the flood feeder, nothing is written
@@ -19,19 +15,3 @@ def write_events(df: DataFrame, path: str, partition_by: str | None = None) -> b
         w = w.partitionBy(partition_by)
     w.parquet(path)
     return True
-
-
-def materialise(df: DataFrame, name: str, key: str) -> DataFrame:
-    """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
-
-    The folder comes from ``spark.checkpoint.dir`` (the cluster's shared storage);
-    the table is reused when it already exists for the same ``key``."""
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = f"{base}/riskgrid-tables/{name}-{hashlib.sha1(key.encode()).hexdigest()[:12]}"
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)

@@ -1,5 +1,6 @@
 """Operator tests on Spark: geometry columns, filters, spatial join, clustering."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,9 +66,10 @@ def test_grid_join_equals_brute_force(spark, force_shuffle):
     c = customers(spark, SF)
     e = spatial.prepare_events(standard_events_plan(spark, SF))
     cfg = spatial.JoinConfig(cell_deg=0.1, force_shuffle=force_shuffle, hot_cell_rows=1)
+    c = spatial.prepare_customers(c)
     got = {(r[0], r[1]) for r in spatial.intersecting_pairs(c, e, cfg).select("id_customer", "_ek").collect()}
     # brute force: every pair, numpy kernel on all of them
-    cg = spatial.customer_geometry(c).filter(F.col("_cg").isNotNull())
+    cg = c.filter(F.col("_cg").isNotNull())
     allp = cg.crossJoin(e.select("_ek", "_eg"))
     from riskgrid.functions import udfs
     brute = udfs.pair_kernel(allp, "_cg", "_eg", "intersects", "_hit", ["id_customer", "_ek"]).filter("_hit")
@@ -210,27 +212,85 @@ def test_native_functions_stay_in_jvm(spark):
     assert r["u"]["x"] == pytest.approx(500000.0)
 
 
-def test_full_impact_table_consistent(spark):
-    """JO1 + JO5: every customer x event, measures consistent with the join-based operators."""
-    c = customers(spark, SF)
-    e = spatial.prepare_events(standard_events_plan(spark, SF))
-    full = spatial.impact_table(c, e)
-    n_c, n_e = c.count(), e.count()
-    rows = full.collect()
-    assert len(rows) == n_c * n_e
-    assert full.columns[-3:] == ["is_in_event", "distance_to_event", "percentage_area_affected"]
-    hits = {(r["id_customer"], r["id_polig_evento"]) for r in rows if r["is_in_event"]}
-    want = spatial.attach(spatial.intersecting_pairs(c, e).select("id_customer", "_ek"), e, "_ek", ["id_polig_evento"])
-    assert hits == {(r[0], r[1]) for r in want.select("id_customer", "id_polig_evento").collect()}
-    for r in rows:
-        if r["polig_customer"] is None:
-            assert r["percentage_area_affected"] is None                     # PR12: points get null
-        if r["is_in_event"]:
-            assert r["distance_to_event"] is None                            # PR11: only outside
-        elif r["latitude"] is not None or r["polig_customer"] is not None:
-            assert r["distance_to_event"] is not None and r["distance_to_event"] > 0
-    with pytest.raises(ValueError):
-        spatial.impact_table(c, e, max_event_rows=1)
+EVENT_DDL = "tipo_evento string, origem string, polig string, additional_value string, data_run string, id_polig_evento string"
+
+
+def box(x0, y0, x1, y1):
+    return f"POLYGON (({x0} {y0}, {x1} {y0}, {x1} {y1}, {x0} {y1}, {x0} {y0}))"
+
+
+def test_rows_not_ids_are_joined(spark):
+    """Null event ids, one event twice, one customer id at two places: every row counts once."""
+    ev = spark.createDataFrame([
+        ("a", "o", box(-51, -30, -50.9, -29.9), " ", None, None),
+        ("b", "o", box(-48, -28, -47.9, -27.9), " ", None, None),
+        ("c", "o", box(-45, -25, -44.9, -24.9), " ", "d", "c"), ("c", "o", box(-45, -25, -44.9, -24.9), " ", "d", "c"),
+    ], EVENT_DDL)
+    cust = spark.createDataFrame([
+        (1, -29.95, -50.95, None, "in a"), (2, -27.95, -47.95, None, "in b"),
+        (3, None, None, box(-45, -25, -44.9, -24.95), "half of c"), (3, None, None, box(-44.95, -25, -44.9, -24.9), "inside c"),
+        (4, -24.95, -44.8, None, "near c"), (4, -24.95, -44.7, None, "near c"),
+    ], CUSTOMER)
+    got = sorted((r.id_customer, r.tipo_evento, r.description) for r in spatial.affected_pairs(cust, ev).collect())
+    assert got == [(1, "a", "in a"), (2, "b", "in b"), (3, "c", "half of c"), (3, "c", "half of c"),
+                   (3, "c", "inside c"), (3, "c", "inside c")]
+    pct = {r.description: round(r.percentage_area_affected) for r in spatial.affected_pairs(cust, ev).where("id_customer = 3").collect()}
+    assert pct == {"half of c": 100, "inside c": 100}
+    far = spatial.distance_pairs(cust, ev, 60.0).where("id_customer = 4")
+    assert far.count() == 4 and far.select(F.round("distance_to_event", 3)).distinct().count() == 2
+    assert {r.id_customer: r.n_events for r in spatial.affected_customers(cust, ev).collect()} == {1: 1, 2: 1, 3: 2}
+
+
+def test_invalid_geometry_has_no_measure(spark):
+    bow = "POLYGON ((0 0, 2 2, 2 0, 0 2, 0 0))"
+    cust = spark.createDataFrame([(1, None, None, bow, "bow-tie"), (2, None, None, box(0.5, 0.5, 1.5, 1.5), "box"),
+                                  (3, 1.0, 1.0, None, "point")], CUSTOMER)
+    ev = spark.createDataFrame([("e", "o", box(1, 0, 3, 3), " ", "d", "e"), ("p", "o", "POINT (1 1)", " ", "d", "p"),
+                                ("g", "o", "garbage", " ", "d", "g")], EVENT_DDL)
+    rows = {(r.description, r.tipo_evento): r.percentage_area_affected for r in spatial.affected_pairs(cust, ev).collect()}
+    assert rows[("bow-tie", "e")] == 0.0 and rows[("box", "e")] == pytest.approx(50, abs=5)  # far outside its UTM zone
+    assert rows[("point", "p")] is None and ("point", "e") in rows          # a point event on the point itself, boundary contact
+    assert not [k for k in rows if k[1] == "g"]
+    assert spatial.distance_pairs(cust, ev, 500.0).where("id_customer = 1").count() == 0
+
+
+def test_nearest_event_has_no_limit(spark):
+    ev = spark.createDataFrame([("far", "o", box(100, 60, 101, 61), " ", "d", "far"), ("edge", "o", box(179, 0, 179.9, 1), " ", "d", "edge"),
+                                ("near", "o", box(0, 0, 1, 1), " ", "d", "near")], EVENT_DDL)
+    cust = spark.createDataFrame([(1, 0.5, 0.5, None, "in"), (2, 0.5, 5.0, None, "5 degrees"), (3, 0.5, -179.9, None, "over the date line"),
+                                  (4, -80.0, -60.0, None, "south"), (5, None, None, None, "nowhere"), (6, 89.9, 10.0, None, "pole")], CUSTOMER)
+    got = {r.id_customer: (r.id_polig_evento, r.distance_to_event) for r in spatial.nearest_event(cust, ev).collect()}
+    assert got[1] == ("near", 0.0) and got[2][0] == "near" and got[3][0] == "edge"
+    assert got[4][0] == "near" and got[4][1] > 8000 and got[5] == (None, None) and got[6][0] == "far"
+
+
+def test_numbers_and_rejects_of_wkt(spark):
+    df = spark.createDataFrame([("POLYGON ((.5 .5, 1. .5, 1. +1., -.5 1, .5 .5))",), ("garbage",), ("POLYGON EMPTY",)], "w string")
+    rows = df.select(wkt.parse_wkt(F.col("w")).alias("g")).collect()
+    assert rows[0].g.xmin == -0.5 and rows[0].g.ymax == 1.0 and rows[0].g.xmax == 1.0
+    assert rows[1].g is None and rows[2].g.parts == []
+
+
+def test_packed_cell_and_long_chain(spark):
+    """20,000 points of one cell without their pairs; a chain that needs many rounds is one cluster."""
+    packed = spark.range(20_000).select(F.lit("u").alias("user_id"), (F.col("id") * 1e-8).alias("longitude"),
+                                        ((F.col("id") * 7919 % 20_000) * 1e-8).alias("latitude"), "id")
+    lab = cluster.dbscan(packed, 0.002, 5, ["user_id"], ["id"])
+    assert lab.where("cluster = 0").count() == 20_000
+    chain = spark.range(400).select((F.col("id") * 0.0005).alias("longitude"), F.lit(0.0).alias("latitude"), F.lit("u").alias("user_id"))
+    assert cluster.dbscan_per_user(chain).select("cluster").distinct().count() == 1
+    twins = spark.createDataFrame([("u", 0.0, 0.0, 1)] * 3 + [("u", 1.0, 1.0, 1)] * 3, "user_id string, latitude double, longitude double, k int")
+    assert cluster.dbscan(twins, 0.002, 5, ["user_id"], ["k"]).where("cluster <> -1").count() == 0
+
+
+def test_worst_neighbour_without_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    pts = [(int(c), float(x), float(y)) for c in range(60) for x, y in rng.normal(rng.uniform(0, 50, 2), 0.3, (6, 2))]
+    got = metrics.centroid_metrics(spark.createDataFrame(pts, "cluster int, longitude double, latitude double")).first()
+    cent = {c: np.mean([p[1:] for p in pts if p[0] == c], axis=0) for c in range(60)}
+    s = {c: np.mean([np.hypot(*(np.array(p[1:]) - cent[c])) for p in pts if p[0] == c]) for c in range(60)}
+    want = np.mean([max((s[i] + s[j]) / np.hypot(*(cent[i] - cent[j])) for j in range(60) if j != i) for i in range(60)])
+    assert got.davies_bouldin == pytest.approx(want)
 
 
 def test_global_rank_is_dense_and_ordered(spark):
