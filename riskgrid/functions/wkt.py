@@ -62,7 +62,8 @@ def _parse(kb: Column) -> Column:
     coords = F.from_json(wrapped, _COORDS)
     parts = F.transform(F.coalesce(coords, F.array().cast(_COORDS)), lambda p: F.transform(p, lambda r: F.transform(
         r, lambda v: F.struct(v[0].alias("x"), v[1].alias("y")))))
-    empty = body.rlike("^EMPTY") | (F.length(body) == 0)
+    empty = body.rlike(r"^EMPTY\s*$") & kind.isin("POINT", "LINESTRING", "LINEARRING", "POLYGON", "MULTIPOINT",
+                                                  "MULTILINESTRING", "MULTIPOLYGON")
     parts = F.when(empty, F.array().cast("array<array<array<struct<x:double,y:double>>>>")).otherwise(parts)
     read = empty | coords.isNotNull()
     return F.when(read, with_bbox(F.struct(kind.alias("kind"), parts.alias("parts"), (kb["has_z"] & ~empty).alias("has_z"))))
