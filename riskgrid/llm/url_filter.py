@@ -55,7 +55,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) ->
     """``page_id, host, path, rule, verdict`` for every page row."""
     bounds = rules.select(F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("len"))
     most = bounds.agg(F.max("labels")).first()[0] or 0
-    lengths = [r[0] for r in bounds.select("len").distinct().orderBy("len").limit(1000).collect()]
+    # as many as the longest rule path has characters, at most
+    lengths = sorted(r[0] for r in bounds.select("len").distinct().collect())
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if not lengths:
         return parts.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"),
