@@ -99,14 +99,6 @@ def point(lon: Column, lat: Column) -> Column:
     return F.when(ok, with_bbox(g))
 
 
-def box(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
-    """Axis-aligned rectangle as a counter-clockwise POLYGON geometry."""
-    def v(x, y):
-        return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-    ring = F.array(v(xmin, ymin), v(xmax, ymin), v(xmax, ymax), v(xmin, ymax), v(xmin, ymin))
-    return with_bbox(F.struct(F.lit("POLYGON").alias("kind"), F.array(F.array(ring)).alias("parts"), F.lit(False).alias("has_z")))
-
-
 # ---------------------------------------------------------------- formatting
 
 def format_number(x: Column) -> Column:

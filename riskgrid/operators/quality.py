@@ -13,14 +13,16 @@ from riskgrid.functions import udfs, wkt
 
 
 def check_polygons(df: DataFrame, wkt_col: str = "polig") -> DataFrame:
-    """Adds ``is_valid`` (GE3), ``repaired`` WKT for invalid rows (GE4) and ``valid_after``."""
+    """Adds ``is_valid`` (GE3), ``repaired`` WKT for invalid rows (GE4) and ``valid_after`` (GE3 of the repaired one)."""
     keep = list(df.columns)
     g = udfs.geom_kernel(df.withColumn("_g", wkt.parse_wkt(F.col(wkt_col))), "_g", "is_valid", "is_valid", keep)
     bad = g.filter(~F.col("is_valid"))
     good = g.filter(F.col("is_valid") | F.col("is_valid").isNull())
     rep = udfs.geom_kernel(bad.withColumn("_g", wkt.parse_wkt(F.col(wkt_col))), "_g", "repair_wkt", "repaired",
                            keep + ["is_valid"])
-    rep = rep.withColumn("valid_after", F.lit(True))
+    rep = udfs.geom_kernel(rep.withColumn("_g", wkt.parse_wkt(F.col("repaired"))), "_g", "is_valid", "valid_after",
+                           [*keep, "is_valid", "repaired"])
+    rep = rep.withColumn("valid_after", F.coalesce("valid_after", F.lit(False)))
     good = good.withColumn("repaired", F.lit(None).cast("string")).withColumn("valid_after", F.coalesce(F.col("is_valid"), F.lit(False)))
     return good.unionByName(rep)
 

@@ -25,22 +25,6 @@ CUSTOMER = T.StructType([
 ])
 CUSTOMER_COLUMNS = [f.name for f in CUSTOMER.fields]
 
-RESULT_COLUMNS = CUSTOMER_COLUMNS + [f.name for f in STANDARD_EVENT.fields] + [
-    "is_in_event", "distance_to_event", "percentage_area_affected"]
-
-PING = T.StructType([
-    T.StructField("user_id", T.StringType()),
-    T.StructField("latitude", T.FloatType()),
-    T.StructField("longitude", T.FloatType()),
-])
-
-LABELLED = T.StructType([
-    T.StructField("user_id", T.StringType()),
-    T.StructField("latitude", T.FloatType()),
-    T.StructField("longitude", T.FloatType()),
-    T.StructField("cluster", T.IntegerType()),
-])
-
 VERTEX = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 # part -> ring (0 = shell) -> vertex
 PARTS = T.ArrayType(T.ArrayType(T.ArrayType(VERTEX)))
@@ -71,9 +55,3 @@ def check_schema(df: DataFrame, expected: T.StructType, *, exact_types: bool = T
         if bad:
             raise SchemaError(f"{name}: wrong column types (column, has, expected): {bad}")
     return df
-
-
-def conform(df: DataFrame, expected: T.StructType, name: str = "input") -> DataFrame:
-    """Check names, then select in canonical order with the expected types."""
-    check_schema(df, expected, exact_types=False, name=name)
-    return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in expected.fields])
