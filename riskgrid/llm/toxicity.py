@@ -1,25 +1,31 @@
 """Toxicity (9): votes of the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are plain words (letters and digits, A-Z folded) and their first 4 and 5 bytes.  The vocabulary holds
-the terms that mostly toxic examples have (share and G2 test, at most ``MAX_TERMS``); document
-frequencies are counted over all documents.  A text becomes its TF-IDF vector over the vocabulary.
-Examples lie in blocks of a block-max inverted index: the product of a query with a block's
-largest weights bounds every similarity in it, blocks are taken in order of that bound, and the search ends when
-the bound falls under the k-th best similarity, so the neighbours are exact.  Votes are weighted by
-distance; isotonic regression of the examples' leave-one-out votes calibrates them.
+Terms are plain words (letters and digits, A-Z folded) and their first 4 and 5 bytes.  A text becomes the
+TF-IDF vector of all its terms, with document frequencies over all documents.  Two indexes of the labelled
+examples vote, weighted by distance:
+
+* ``WholeIndex`` holds the whole vectors of all examples.  A batch of texts meets all of them at once (the
+  ``DENSE`` commonest terms as a matrix product, the others by their postings); what comes within the rounding error
+  of the k-th best is scored again in double precision, so the neighbours are exact.
+* ``BlockMaxIndex`` holds the examples over the telling terms only, those that mostly toxic examples have (share and
+  G2 test, at most ``MAX_TERMS``): a few such words of a long text hardly move its whole vector.  Blocks are
+  taken in order of a bound of their similarities, until it falls under the k-th best, so these are exact as well.
+
+Isotonic regression of the examples' leave-one-out votes calibrates each vote; the larger one counts, calibrated
+again.  The evidence are the nearest examples by the whole vectors.
 
 The examples are at most ``MAX_EXAMPLES`` labelled rows (in pseudo-random order of ``doc_id``), so model and index
-have a fixed size, whatever the corpus.  Rows with crc32(doc_id as text) mod 5 = 0 are held out.
+have a fixed number of rows, whatever the corpus.  Rows with crc32(doc_id as text) mod 5 = 0 are held out.
 
-Defined results: null or empty texts and texts without a vocabulary term get the calibrated rate of such
-examples; a null ``doc_id`` isn't held out and never an example; of several labels of one document the
-largest counts; without any labelled row all scores are 0.5 (predicted 1); repeated rows get equal
-scores; an empty table gives no rows.  Only ``doc_id`` and ``text`` of the documents are read.
+Defined results: a text that shares no term with an example has the prior rate as its whole vote, one without a telling term the
+rate of such examples as the other; a null ``doc_id`` isn't held out and never an example; of several labels of
+one document the largest counts; without any labelled row all scores are 0.5 (predicted 1); repeated rows get
+equal scores; an empty table gives no rows.  Only ``doc_id`` and ``text`` of the documents are read.
 """
 
 from __future__ import annotations
 
-import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +40,8 @@ MAX_EXAMPLES, MAX_TERMS = 20_000, 4096
 MIN_EXAMPLES, MIN_G2, MIN_SHARE = 3, 12.1, 0.6
 PREFIXES = (4, 5)
 NEIGHBOURS, BLOCK = 25, 64
+#: Columns of the dense part of the whole vectors, texts of a matrix product, and a bound of twice its rounding error.
+DENSE, TOGETHER, ROUNDING = 2048, 128, 5e-4
 FOLDS = 5
 #: Weight of the prior rate among the votes.
 PRIOR_VOTES = 0.25
@@ -54,19 +62,34 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(docs), np.concatenate(hashes)
 
 
+def by_row(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term (a place in the last array) and number of occurrences, by row; and the sorted distinct hashes."""
+    doc, h = terms(*buffers(texts))
+    known, which = np.unique(h, return_inverse=True)
+    key, n = np.unique(doc * len(known) + which, return_counts=True)
+    doc = key // max(1, len(known))
+    return doc, key - doc * len(known), n, known
+
+
+def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term hash and number of occurrences, by row."""
+    doc, which, n, known = by_row(texts)
+    return doc, known[which], n
+
+
 def term_counts(texts: DataFrame) -> DataFrame:
     """``term, toxic, n``: in how many rows of ``texts`` (with ``toxic``) a term occurs."""
     def run(batches):
         for batch in batches:
             for first, last in text_chunks(batch):
                 part = batch.slice(first, last - first)
-                doc, h = terms(*buffers(part.column("text").fill_null("")))
+                doc, which, _, known = by_row(part.column("text").fill_null(""))
                 label = part.column("toxic").to_numpy(zero_copy_only=False)
-                pairs = np.unique(np.stack((h, doc.astype(np.uint64)), 1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
                 for y in (0, 1):
-                    t, n = np.unique(pairs[label[pairs[:, 1].astype(np.int64)] == y, 0], return_counts=True)
+                    n = np.bincount(which[label[doc] == y], minlength=len(known))
+                    t = np.flatnonzero(n)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(t.view(np.int64)), pa.array(np.full(len(t), y, np.int32)), pa.array(n.astype(np.int64))],
+                        [pa.array(known[t].view(np.int64)), pa.array(np.full(len(t), y, np.int32)), pa.array(n[t])],
                         ["term", "toxic", "n"])
 
     return texts.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "term long, toxic int, n long")
@@ -90,22 +113,29 @@ def choose_terms(counts: DataFrame, n_toxic: int, n_clean: int) -> np.ndarray:
     return np.sort(np.array([r.term for r in rows], np.int64).view(np.uint64))
 
 
-def vectors(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """``doc_id, terms, counts``: vocabulary terms of each row and how often they occur."""
+def places(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Index of each hash in the sorted vocabulary, -1 if it isn't there."""
+    if not len(vocabulary):
+        return np.full(len(h), -1, np.int64)
+    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == h, at, -1)
+
+
+def example_vectors(texts: DataFrame, vocabulary) -> DataFrame:
+    """``doc_id, toxic, terms, counts``: places in the broadcast vocabulary and counts, as 32-bit binaries."""
     def run(batches):
         for batch in batches:
             for first, last in text_chunks(batch):
                 part = batch.slice(first, last - first)
-                doc, h = terms(*buffers(part.column("text").fill_null("")))
-                at = np.minimum(np.searchsorted(vocabulary, h), max(0, len(vocabulary) - 1))
-                known = np.flatnonzero(vocabulary[at] == h) if len(vocabulary) else np.zeros(0, np.int64)
-                key, n = np.unique(doc[known] * (MAX_TERMS + 1) + at[known], return_counts=True)
-                ends = pa.array(np.searchsorted(key, np.arange(part.num_rows + 1) * (MAX_TERMS + 1)).astype(np.int32))
+                doc, which, n, known = by_row(part.column("text").fill_null(""))
+                at, n = places(vocabulary.value, known).astype(np.int32)[which], n.astype(np.int32)
+                cuts = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                both = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for x in (at, n)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array((key % (MAX_TERMS + 1)).astype(np.int32))),
-                     pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32)))], ["doc_id", "terms", "counts"])
+                    [part.column("doc_id"), part.column("toxic"), *both], ["doc_id", "toxic", "terms", "counts"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, terms array<int>, counts array<int>")
+    return (texts.select("doc_id", F.col("toxic").cast("int"), "text")
+            .mapInArrow(run, "doc_id long, toxic int, terms binary, counts binary"))
 
 
 def weighted(which: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -199,58 +229,252 @@ def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
     return b[:, 0] / b[:, 2], (b[:, 1] + 0.05) / (b[:, 2] + 0.1)
 
 
+def calibration(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic steps of labels by votes; equal votes are one point."""
+    at, which, n = np.unique(np.round(x, 9), return_inverse=True, return_counts=True)
+    return isotonic(at, np.bincount(which, y), n.astype(float))
+
+
+class WholeIndex:
+    """The whole vectors of all examples, by example: ``cuts`` of ``col`` (place in the vocabulary) and ``count``."""
+
+    def __init__(self, ids: np.ndarray, toxic: np.ndarray, cuts: np.ndarray, col: np.ndarray, count: np.ndarray, idf: np.ndarray):
+        self.ids, self.toxic, self.cuts, self.col, self.count, self.idf = ids, toxic, cuts, col, count, idf
+        self.dense = None
+
+    def __getstate__(self) -> dict:
+        # a broadcast lies on every machine's disk: the byte planes of steps and counts, deflated
+        planes = [zlib.compress(np.ascontiguousarray(x.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+                  for x in (np.diff(self.col, prepend=0), self.count)]
+        return {"ids": self.ids, "toxic": self.toxic, "cuts": self.cuts, "idf": self.idf, "planes": planes}
+
+    def __setstate__(self, state: dict) -> None:
+        planes = state.pop("planes")
+        self.__dict__.update(state, dense=None)
+        steps, self.count = (np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T.copy().view(np.int32).reshape(-1)
+                             for x in planes)
+        self.col = np.cumsum(steps, dtype=np.int32)
+
+    def prepare(self) -> None:
+        """The dense and the posted part; made where it is used, as it is larger than what it is made from."""
+        n, terms_of = len(self.ids), np.diff(self.cuts)
+        weight = (1 + np.log(self.count)) * self.idf[self.col]
+        row = np.repeat(np.arange(n, dtype=np.int32), terms_of)
+        self.norm = np.sqrt(np.bincount(row, weight * weight, n))
+        self.norm[self.norm == 0] = 1
+        weight = (weight / self.norm[row]).astype(np.float32)
+        seen = np.bincount(self.col, minlength=len(self.idf))
+        self.column = np.full(len(self.idf), -1, np.int32)
+        common = np.argsort(-seen, kind="stable")[:DENSE]
+        self.column[common] = np.arange(len(common))
+        at = self.column[self.col]
+        dense = np.zeros((n, len(common)), np.float32)
+        dense[row[at >= 0], at[at >= 0]] = weight[at >= 0]
+        rare = np.flatnonzero(at < 0)
+        rare = rare[np.argsort(self.col[rare], kind="stable")]
+        self.row, self.weight = row[rare], weight[rare]
+        seen[common] = 0
+        self.posts = np.concatenate(([0], np.cumsum(seen)))
+        self.dense = dense
+
+    def similar(self, doc: np.ndarray, col: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
+        """Similarity of each of ``rows`` texts with each example, in single precision."""
+        at, n = self.column[col], len(self.ids)
+        q = np.zeros((rows, self.dense.shape[1]), np.float32)
+        q[doc[at >= 0], at[at >= 0]] = weight[at >= 0]
+        out = q @ self.dense.T
+        rare = np.flatnonzero(at < 0)
+        begin, size = self.posts[col[rare]], self.posts[col[rare] + 1] - self.posts[col[rare]]
+        post = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+        if len(post):
+            key = np.repeat(doc[rare] * n, size) + self.row[post]
+            out += np.bincount(key, np.repeat(weight[rare], size) * self.weight[post], rows * n).reshape(rows, n)
+        return out
+
+    def nearest(self, doc: np.ndarray, col: np.ndarray, weight: np.ndarray, rows: int, k: int, leave=None):
+        """By text: the ``k`` nearest examples (more with equal ones) and their similarities, most similar first.  ``doc`` ascends;
+        ``weight`` has unit length by text.  ``leave`` has the ids of examples to leave out, one a text."""
+        if self.dense is None:
+            self.prepare()
+        n, scratch = len(self.ids), np.zeros(len(self.idf))
+        for first in range(0, rows, TOGETHER):
+            last = min(rows, first + TOGETHER)
+            a, b = np.searchsorted(doc, (first, last))
+            score = self.similar(doc[a:b] - first, col[a:b], weight[a:b], last - first)
+            if leave is not None:
+                score[leave[first:last, None] == self.ids[None, :]] = -1
+            floor = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.zeros(last - first)
+            cuts = np.searchsorted(doc[a:b], np.arange(first, last + 1)) + a
+            for i in range(last - first):
+                mine = slice(cuts[i], cuts[i + 1])
+                near = np.flatnonzero(score[i] >= max(floor[i] - ROUNDING, 1e-30)) if cuts[i + 1] > cuts[i] else []
+                if not len(near):
+                    yield np.zeros(0, np.int64), np.zeros(0)
+                    continue
+                scratch[col[mine]] = weight[mine] * self.idf[col[mine]]
+                size = self.cuts[near + 1] - self.cuts[near]
+                starts = np.cumsum(size) - size
+                at = np.arange(size.sum()) + np.repeat(self.cuts[near] - starts, size)
+                sims = np.add.reduceat(scratch[self.col[at]] * (1 + np.log(self.count[at])), starts) / self.norm[near]
+                scratch[col[mine]] = 0
+                order = np.lexsort((self.ids[near], -sims))
+                near, sims = near[order], sims[order]
+                if len(near) > k:
+                    keep = int(np.searchsorted(-sims, -sims[k - 1] + 1e-12, side="right"))
+                    near, sims = near[:keep], sims[:keep]
+                yield near, sims
+
+    def votes(self, doc, col, count, rows: int, leave=None):
+        """By text: toxic votes, all votes, squared length of the known part of its vector, evidence."""
+        raw = (1 + np.log(count)) * self.idf[col]
+        square = np.bincount(doc, raw * raw, rows)
+        found = self.nearest(doc, col, raw / np.sqrt(square)[doc], rows, NEIGHBOURS, leave)
+        for i, (near, sims) in enumerate(found):
+            w = sims ** 2
+            yield float((w * self.toxic[near]).sum()), float(w.sum()), float(square[i]), self.ids[near[:3]].tolist()
+
+
 class Model:
-    def __init__(self, examples: list, idf: np.ndarray):
-        self.index = BlockMaxIndex(examples, idf)
+    """Both indexes; ``telling`` has the place in ``vocabulary`` of each telling term."""
+
+    def __init__(self, vocabulary: np.ndarray, telling: np.ndarray, whole: WholeIndex):
+        self.vocabulary, self.whole = vocabulary, whole
+        self.place = np.full(len(vocabulary), -1, np.int32)
+        self.place[telling] = np.arange(len(telling))
+        self.prior = (whole.toxic.sum() + 0.5) / (len(whole.ids) + 1)
+        row = np.repeat(np.arange(len(whole.ids)), np.diff(whole.cuts))
+        self.own = [(w, c) for w, c in self.telling_vectors(row, whole.col, whole.count, len(whole.ids))]
+        self.index = BlockMaxIndex([(w, c, int(y), int(i)) for (w, c), y, i in
+                                    zip(self.own, whole.toxic, whole.ids, strict=True)], whole.idf[telling])
         i = self.index
-        self.bare = (i.bare[1] + 0.5) / (i.bare[0] + 1) if examples else 0.5
-        self.steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-        if i.vectors:
-            shares = np.array([i.vote(*v, leave=k)[0] for k, v in enumerate(i.vectors)])
-            self.steps = isotonic(shares, i.toxic.astype(float), i.size.astype(float))
+        self.bare = (i.bare[1] + 0.5) / (i.bare[0] + 1)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "own"}
+
+    def telling_vectors(self, doc, col, count, rows: int):
+        at = self.place[col]
+        known = np.flatnonzero(at >= 0)
+        cuts = np.searchsorted(doc[known], np.arange(rows + 1))
+        at, count = at[known].tolist(), count[known].tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            yield at[a:b], count[a:b]
+
+    def whole_vote(self, toxic, every, known=1.0):
+        """Share of the toxic votes; ``known`` is the part of the text's squared length that examples' terms have."""
+        return (toxic * known + PRIOR_VOTES * self.prior) / (every * known + PRIOR_VOTES)
+
+    def calibrate(self, found: dict[int, tuple[float, float]]) -> None:
+        """``found``: toxic and all votes of each example without itself."""
+        y = self.whole.toxic.astype(float)
+        a = self.whole_vote(*np.array([found[i] for i in self.whole.ids.tolist()]).T)
+        left = {(tuple(w), tuple(c)): self.index.vote(w, c, leave=k)[0]
+                for k, (w, c) in enumerate(self.index.vectors)}
+        b = np.array([left.get((tuple(w), tuple(c)), -1.0) for w, c in self.own])
+        self.by_whole, has = calibration(a, y), b >= 0
+        self.by_telling = calibration(b[has], y[has]) if has.any() else (np.zeros(1), np.full(1, self.bare))
+        self.steps = calibration(self.larger(a, b), y)
+
+    def larger(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.maximum(np.interp(a, *self.by_whole), np.where(b < 0, self.bare, np.interp(b, *self.by_telling)))
 
-    def score(self, which, counts) -> tuple[float, list[int]]:
-        share, evidence = self.index.vote(which, counts)
-        return (self.bare if share < 0 else float(np.interp(share, *self.steps))), evidence
+    def score(self, toxic, every, known, telling) -> np.ndarray:
+        return np.interp(self.larger(self.whole_vote(toxic, every, known), telling), *self.steps)
 
 
-def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the written vectors of all documents."""
+FOUND = ("row long, doc_id long, toxic double, every double, square double, telling double, evidence array<long>, "
+         "others array<long>, counts array<int>")
+
+
+def votes(docs: DataFrame, shared, leave: bool = False) -> DataFrame:
+    """``FOUND`` by row of ``row, doc_id, text``: votes, and the terms (with counts) that no example has.  ``leave``: each text
+    is an example and doesn't vote for itself."""
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            for first, last in text_chunks(batch):
+                part = batch.slice(first, last - first)
+                n = part.num_rows
+                doc, which, count, hashes = by_row(part.column("text").fill_null(""))
+                at = places(model.vocabulary, hashes)[which]
+                k, o = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+                own = part.column("doc_id").to_numpy(zero_copy_only=False) if leave else None
+                out = list(model.whole.votes(doc[k], at[k], count[k], n, own))
+                telling = [-1.0 if leave else model.index.vote(w, c)[0]
+                           for w, c in model.telling_vectors(doc[k], at[k], count[k], n)]
+                ends = pa.array(np.searchsorted(doc[o], np.arange(n + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row"), part.column("doc_id"), *(pa.array([x[j] for x in out], pa.float64()) for j in range(3)),
+                     pa.array(telling, pa.float64()), pa.array([x[3] for x in out], pa.list_(pa.int64())),
+                     pa.ListArray.from_arrays(ends, pa.array(hashes[which[o]].view(np.int64))),
+                     pa.ListArray.from_arrays(ends, pa.array(count[o].astype(np.int32)))],
+                    [f.split(" ")[0] for f in FOUND.split(", ")])
+
+    return docs.select("row", "doc_id", "text").mapInArrow(run, FOUND)
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> tuple:
+    """The model (None without examples), its broadcast for ``votes``, ``term, df`` over all documents, and their number."""
+    spark = docs.sparkSession
     known = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic")))
     sample = written(known.orderBy(F.xxhash64(F.lit(31), "doc_id"), "doc_id").limit(MAX_EXAMPLES))
     texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-                    .join(F.broadcast(sample), "doc_id"))                     # at most MAX_EXAMPLES rows
+                    .join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]))     # at most MAX_EXAMPLES rows
     totals = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
-    vocabulary = choose_terms(term_counts(texts), totals.get(1, 0), totals.get(0, 0))
-
-    rows = written(vectors(docs, vocabulary))
-    n = rows.count()
-    seen = rows.select(F.explode("terms").alias("t")).groupBy("t").count().collect()        # <= MAX_TERMS rows
-    idf = np.zeros(len(vocabulary))
-    for r in seen:
-        idf[r.t] = math.log((1 + n) / (1 + r["count"])) + 1
-    examples = [(r.terms, r.counts, r.toxic, r.doc_id)
-                for r in rows.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-                .orderBy("doc_id").collect()]                                 # <= MAX_EXAMPLES rows
-    return Model(examples, idf), rows
+    if not totals:
+        return None, None, None, 0
+    counts = written(term_counts(texts))
+    chosen = choose_terms(counts, totals.get(1, 0), totals.get(0, 0))
+    frequency = written(term_counts(docs.select("text", F.lit(0).alias("toxic"))).groupBy("term")
+                        .agg(F.sum("n").alias("df")))
+    n = docs.count()
+    seen = frequency.join(counts.select("term").distinct(), "term").toArrow()            # terms of the examples
+    vocabulary, df = seen["term"].to_numpy().view(np.uint64), seen["df"].to_numpy()
+    order = np.argsort(vocabulary)
+    vocabulary, idf = vocabulary[order], np.log((1 + n) / (1 + df[order])) + 1
+    rows = example_vectors(texts, spark.sparkContext.broadcast(vocabulary)).toArrow().sort_by("doc_id")
+    parts = [[np.frombuffer(x.as_py(), np.int32) for x in rows[c]] for c in ("terms", "counts")]
+    cuts = np.concatenate(([0], np.cumsum([len(x) for x in parts[0]]))).astype(np.int64)
+    whole = WholeIndex(rows["doc_id"].to_numpy(), rows["toxic"].to_numpy(), cuts, *(np.concatenate(x) for x in parts), idf)
+    model = Model(vocabulary, places(vocabulary, chosen), whole)
+    shared = spark.sparkContext.broadcast(model)
+    left = votes(texts.withColumn("row", F.col("doc_id")), shared, leave=True)
+    model.calibrate({r.doc_id: (r.toxic, r.every) for r in left.select("doc_id", "toxic", "every").collect()})
+    return model, shared, frequency, n
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted, evidence`` (ids of the nearest examples) by row."""
-    model, rows = fitted(docs, labels)
-
-    def run(batches):
-        for batch in batches:
-            out = [model.score(t.values.to_pylist(), c.values.to_pylist())
-                   for t, c in zip(batch.column("terms"), batch.column("counts"), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([s for s, _ in out], pa.float64()),
-                 pa.array([e for _, e in out], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
-
-    return (rows.mapInArrow(run, "doc_id long, score double, evidence array<long>")
-            .select("doc_id", held_out().alias("held_out"), "score",
-                    (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence"))
+    model, shared, frequency, n = fitted(docs, labels)
+    ids = F.col("doc_id").cast("long").alias("doc_id")
+    if model is None:
+        out = docs.select(ids, F.lit(0.5).alias("score"), F.array().cast("array<long>").alias("evidence"))
+    else:
+        found = written(votes(docs.select(F.monotonically_increasing_id().alias("row"), ids, "text"), shared))
+        # terms that no example has only lengthen a text's vector
+        weight = (1 + F.log("c")) * (F.log((1 + n) / (1 + F.col("df"))) + 1)
+        others = (found.select("row", F.explode(F.arrays_zip("others", "counts")).alias("x"))
+                  .select("row", F.col("x.others").alias("term"), F.col("x.counts").alias("c"))
+                  .join(frequency, "term").groupBy("row").agg(F.sum(weight * weight).alias("rest")))
+        rows = found.drop("others", "counts").join(others, "row", "left").withColumn(
+            "known", F.when(F.col("square") > 0, F.col("square") / (F.col("square") + F.coalesce("rest", F.lit(0.0))))
+            .otherwise(0.0))
+        final = docs.sparkSession.sparkContext.broadcast(
+            (model.by_whole, model.by_telling, model.steps, model.bare, model.prior))
+
+        def run(batches):
+            m = Model.__new__(Model)
+            m.by_whole, m.by_telling, m.steps, m.bare, m.prior = final.value
+            for batch in batches:
+                score = m.score(*(batch.column(c).to_numpy() for c in ("toxic", "every", "known", "telling")))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64()),
+                                                  batch.column("evidence")], ["doc_id", "score", "evidence"])
+
+        out = rows.select("doc_id", "toxic", "every", "known", "telling", "evidence").mapInArrow(
+            run, "doc_id long, score double, evidence array<long>")
+    return out.select("doc_id", held_out().alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

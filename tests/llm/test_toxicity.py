@@ -70,3 +70,31 @@ def test_only_learnt_rows_decide(spark):
     flipped = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = (sorted((r.doc_id, r.score) for r in toxicity.scored(d, x).collect()) for x in (labels, flipped))
     assert a == b
+
+
+def test_whole_vectors_of_all_examples(spark):
+    """Examples without a telling term are found, neighbours equal brute force, terms without an example count."""
+    prepare(spark)
+    rng = random.Random(11)
+    texts = [" ".join(f"{rng.choice('abcdef')}{rng.randrange(60)}" for _ in range(rng.randrange(4, 30))) for _ in range(220)]
+    rows = [(i, t + (f" only{i}" if i % 3 else "")) for i, t in enumerate(texts)]
+    rare = [i for i in range(220) if i % 11 == 0]
+    rows += [(1000 + i, rows[i][1]) for i in rare]                       # copies without a label
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in rare)) for i in range(220)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.scored(d, labels).collect()}
+    held = {i for i in range(220) if got[i].held_out}
+    import pyarrow as pa
+    doc, h, count = toxicity.counted(pa.array([t for _, t in rows]))
+    voc, col = np.unique(h, return_inverse=True)
+    dense = np.zeros((len(rows), len(voc)))
+    dense[doc, col] = (1 + np.log(count)) * (np.log((1 + len(rows)) / (1 + np.bincount(col))) + 1)[col]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    examples = np.array([i for i in range(220) if i not in held])
+    for n, (i, _) in enumerate(rows):
+        sims = dense[examples] @ dense[n]
+        best = sorted(zip(np.round(-sims, 9), examples), key=lambda x: (x[0], x[1]))[:3]
+        assert got[i].evidence == [e for s, e in best if s < 0]
+    for i in rare:
+        if i not in held:
+            assert got[1000 + i].evidence[0] == i and got[1000 + i].predicted == 1
