@@ -16,8 +16,8 @@ Pairs inside a component can't change the result.
 
 Defined results: a null or empty text has an empty set, links with nothing, and is its own
 component; rows of one ``doc_id`` are one document, and each keeps its row; a null ``doc_id`` has a
-null component and is kept; an empty table gives no rows.  Only ``doc_id`` and ``text`` are read
-(``keep_first`` carries all columns along).  A text's arrays take about 40 times its bytes.
+null component and is kept; an empty table gives no rows.  Only ``doc_id`` and ``text`` are read.
+``keep_first`` carries all columns along and leaves one row of a group, whatever its ``doc_id``.  A text's arrays take about 40 times its bytes.
 """
 
 from __future__ import annotations
@@ -294,10 +294,17 @@ def _close_pairs(docs: DataFrame, open_rows: DataFrame, k: int) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, k: int = 5) -> DataFrame:
-    """The rows of ``docs`` that are the smallest ``doc_id`` of their component, all columns."""
-    gone = labelled(docs, k).where("component_id <> doc_id").select("doc_id").distinct()
-    gone = written(gone)
-    return docs.join(sized_broadcast(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    """One row of ``docs`` of each component of texts, all columns: the one of the smallest ``doc_id`` (nulls last), then
+    of the smallest hash of its text.  Rows are linked by their texts alone, so repeated rows and rows without a
+    ``doc_id`` fall together as well; texts without words link with nothing and stay."""
+    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()))
+    rows = written(labelled(keyed.select(F.col("__row").alias("doc_id"), "text"), k)
+                   .select(F.col("doc_id").alias("__row"), "component_id"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "__row")
+    first = (keyed.select("__row", order.alias("order")).join(rows, "__row").groupBy("component_id")
+             .agg(F.min("order").alias("order")).select(F.col("order.__row").alias("__row")))
+    gone = written(rows.select("__row").join(first, "__row", "left_anti"))
+    return keyed.join(sized_broadcast(gone, gone.count()), "__row", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,3 +81,19 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         d = stage(spark, d, "")
     assert d.count() == 0
+
+
+def test_copies_leave_one_whole_text(spark):
+    """Repeated rows, copies without an id, near copies under one id: one whole text is left of each group."""
+    prepare(spark)
+    stages = dict(corpus_pipeline.STAGES)
+    words = lambda name: " ".join(f"{name}{j}" for j in range(150))
+    given = [(7, words("same"))] * 3 + [(9, words("again")), (None, words("again"))] + [(None, words("none"))] * 2
+    given += [(11, words("near")), (11, words("near") + " end"), (13, words("one")), (13, words("two"))]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in given],
+                              "doc_id long, text string, lang string, source string, n_chars long")
+    kept = stages["near_duplicates"](spark, d, "").checkpoint()
+    whole = stages["repeated_passages"](spark, kept, "").collect()
+    got = Counter((r.doc_id, r.text.split("0")[0]) for r in whole)
+    assert got == Counter([(7, "same"), (9, "again"), (None, "none"), (11, "near"), (13, "one"), (13, "two")])
+    assert all(len(r.text) >= len(words(r.text.split("0")[0])) for r in whole)
