@@ -39,8 +39,8 @@ PERCENT = 80
 CHUNKS, WIDTH = 10, 5
 SYMBOLS = CHUNKS * WIDTH
 #: Bits of the finer signature for what is left to compare pair by pair, and its largest distance: at
-#: similarity 0.8 the distance (on average 102) is over it with probability 5e-6.
-BITS, FAR = 1024, 145
+#: similarity 0.8 the distance (on average 102) is over it with probability 5.1e-10.
+BITS, FAR = 1024, 165
 #: Pairs by class at which the rest is compared pair by pair.
 FEW_PAIRS = 4
 

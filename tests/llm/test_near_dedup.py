@@ -1,4 +1,5 @@
 import random
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -85,3 +86,10 @@ def test_awkward_rows(spark):
     kept = near_dedup.keep_first(d, 4)
     assert kept.columns == d.columns and kept.where("doc_id is null").count() == 1
     assert near_dedup.labelled(empty(spark)).count() == 0
+
+
+def test_fine_signature_loses_far_less_than_the_buckets():
+    """A pair of similarity 0.8 differs in each bit with probability 0.1."""
+    loss = sum(comb(near_dedup.BITS, i) * 0.1 ** i * 0.9 ** (near_dedup.BITS - i)
+               for i in range(near_dedup.FAR + 1, near_dedup.BITS // 2))
+    assert loss < 1.6e-6 / 1000
