@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from riskgrid.llm import bpe, fingerprint, mixing, near_dedup, quality, sharding, suffix_dedup, token_files, toxicity, url_filter
+from riskgrid.llm import (
+    bpe,
+    byte_bpe,
+    fingerprint,
+    mixing,
+    near_dedup,
+    quality,
+    sharding,
+    suffix_dedup,
+    token_files,
+    toxicity,
+    url_filter,
+)
 from riskgrid.llm.common import prepare
 
 
@@ -25,4 +37,5 @@ REGISTRY = {name: (_prepared(fn), sql) for name, (fn, sql) in {
     "op8_token_files": (token_files.query, None),
     "op9_toxicity_neighbours": (toxicity.query, None),
     "op10_byte_shards": (sharding.query, sharding.SQL),
+    "op12_byte_bpe": (byte_bpe.query, None),
 }.items()}
