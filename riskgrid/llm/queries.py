@@ -6,6 +6,7 @@ from riskgrid.llm import (
     bpe,
     byte_bpe,
     fingerprint,
+    hard_negatives,
     mixing,
     near_dedup,
     quality,
@@ -37,5 +38,6 @@ REGISTRY = {name: (_prepared(fn), sql) for name, (fn, sql) in {
     "op8_token_files": (token_files.query, None),
     "op9_toxicity_neighbours": (toxicity.query, None),
     "op10_byte_shards": (sharding.query, sharding.SQL),
+    "op11_hard_negatives": (hard_negatives.query, hard_negatives.SQL),
     "op12_byte_bpe": (byte_bpe.query, None),
 }.items()}
