@@ -305,13 +305,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 WITH v AS (
   SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-         list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
   FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT a.k, a.vec_id AS anchor_id, b.k AS bk, b.vec_id AS other_id, a.label = b.label AS same,
-         CAST(coalesce(list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2])), 0) AS BIGINT) AS score
+         CAST(coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
 p AS (
   SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, other_id) AS place FROM s WHERE same

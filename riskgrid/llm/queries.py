@@ -5,6 +5,7 @@ from __future__ import annotations
 from riskgrid.llm import (
     bpe,
     byte_bpe,
+    collocations,
     fingerprint,
     hard_negatives,
     mixing,
@@ -40,4 +41,5 @@ REGISTRY = {name: (_prepared(fn), sql) for name, (fn, sql) in {
     "op10_byte_shards": (sharding.query, sharding.SQL),
     "op11_hard_negatives": (hard_negatives.query, hard_negatives.SQL),
     "op12_byte_bpe": (byte_bpe.query, None),
+    "op13_collocations": (collocations.query, collocations.SQL),
 }.items()}
