@@ -6,6 +6,8 @@ leftmost-smaller (LMS) substrings, whose alphabet is large, induces entry by ent
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 
@@ -36,7 +38,7 @@ def _induce(s: np.ndarray, smaller: np.ndarray, counts: np.ndarray, seeds: np.nd
     n = len(s)
     ends = np.cumsum(counts)
     heads = ends - counts
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     fill = ends - 1
     _place(sa, fill, s[seeds[::-1]], seeds[::-1], -1)
     seeded = fill + 1                                      # where each bucket's LMS entries begin
@@ -74,10 +76,10 @@ def _induce(s: np.ndarray, smaller: np.ndarray, counts: np.ndarray, seeds: np.nd
     return sa
 
 
-def _induce_names(s: list, smaller: list, ends: list, heads: list, seeds: list) -> list:
+def _induce_names(s: array, smaller: bytes, ends: list, heads: list, seeds: list) -> array:
     """The same entry by entry."""
     n = len(s)
-    sa = [-1] * n
+    sa = array("i", [-1]) * n
     fill = [e - 1 for e in ends]
     for i in reversed(seeds):
         c = s[i]
@@ -103,7 +105,7 @@ def _induce_names(s: list, smaller: list, ends: list, heads: list, seeds: list)
 def _named(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
     """Names of the LMS substrings (equal substrings get equal names) in text order, and their number;
     ``order`` has the LMS positions sorted by substring."""
-    where = np.full(len(s), -1, np.int64)
+    where = np.full(len(s), -1, np.int32)
     where[lms] = np.arange(len(lms))
     nxt = np.concatenate((lms[1:], [len(s) - 1]))
     length = (nxt - lms + 1)[where[order]]
@@ -117,7 +119,7 @@ def _named(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarra
         same[live[~equal]] = False
         live = live[equal]
         step += 1
-    names = np.empty(len(lms), np.int64)
+    names = np.empty(len(lms), np.int32)
     names[where[order]] = np.concatenate(([0], np.cumsum(~same)))
     return names, int(names.max()) + 1
 
@@ -127,7 +129,7 @@ def suffix_array(s: np.ndarray, alphabet: int) -> np.ndarray:
     if len(s) < 3:
         return np.arange(len(s))[::-1].copy()
     smaller = _types(s)
-    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    lms = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
     counts = np.bincount(s, minlength=alphabet)
     by_bucket = alphabet <= 1024
     if by_bucket:
@@ -135,10 +137,10 @@ def suffix_array(s: np.ndarray, alphabet: int) -> np.ndarray:
             return _induce(s, smaller, counts, seeds)
     else:
         ends = np.cumsum(counts)
-        args = s.tolist(), smaller.tolist(), ends.tolist(), (ends - counts).tolist()
+        args = array("i", s.astype(np.int32).tobytes()), smaller.tobytes(), ends.tolist(), (ends - counts).tolist()
 
         def induce(seeds):
-            return np.array(_induce_names(*args, seeds.tolist()))
+            return np.frombuffer(_induce_names(*args, seeds.tolist()), np.int32)
     is_lms = np.zeros(len(s), bool)
     is_lms[lms] = True
     rough = induce(lms[np.argsort(s[lms], kind="stable")])
@@ -154,15 +156,15 @@ def permuted_lcp(s: np.ndarray, sa: np.ndarray, limit: int) -> tuple[np.ndarray,
     ``sa`` (-1: none).  A suffix whose left neighbour equals its predecessor's has one less than the
     suffix to its left; only the others are compared."""
     n = len(s)
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, np.int32)
     phi[sa[1:]] = sa[:-1]
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     own = phi >= 0
     reducible = own.copy()
     reducible[0] = False
     k = np.flatnonzero(reducible)
     reducible[k] = (phi[k] > 0) & (s[k - 1] == s[phi[k] - 1])
-    plcp = np.zeros(n, np.int64)
+    plcp = np.zeros(n, np.int32)
     padded = np.concatenate((s, np.zeros(4, s.dtype))).astype(np.uint64)
     word = padded[:n] | padded[1:n + 1] << np.uint64(16) | padded[2:n + 2] << np.uint64(32) | padded[3:n + 3] << np.uint64(48)
     word = np.concatenate((word, np.zeros(4, np.uint64)))
@@ -174,6 +176,7 @@ def permuted_lcp(s: np.ndarray, sa: np.ndarray, limit: int) -> tuple[np.ndarray,
         plcp[live] += equal
         live = live[(equal == 4) & (plcp[live] < limit + n)]
     # fall by one from the last compared suffix
+    del word
     last = np.maximum.accumulate(np.where(~reducible, at, 0))
     plcp = np.where(reducible, plcp[last] - (at - last), plcp)
     return np.minimum(np.maximum(plcp, 0), n - at), phi
@@ -188,8 +191,9 @@ def repeats(pieces: list[bytes], span: int) -> list[np.ndarray]:
     s = raw.astype(np.uint16) + np.uint16(2)
     s[first[1:] - 1] = 1                                   # ends of pieces; then the least symbol
     s = np.concatenate((s, np.zeros(1, np.uint16)))
-    sa = suffix_array(s.astype(np.int64), 258)
+    sa = suffix_array(s, 258)
     plcp, phi = permuted_lcp(s, sa, span)
+    del sa
     owner = np.repeat(np.arange(len(pieces)), sizes + 1)
     rest = np.concatenate((first[1:][owner] - 1 - np.arange(len(owner)), [0]))
     hit = np.flatnonzero((plcp >= span) & (rest >= span))

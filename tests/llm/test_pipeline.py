@@ -56,7 +56,8 @@ def test_stages_against_brute_force(spark):
 
     three = stages["repeated_passages"](spark, two, "").checkpoint()
     given = two.collect()
-    kept = {r.doc_id: b[3].decode("utf-8", "ignore") for r, b in zip(given, suffix_brute([r.text for r in given]), strict=True)}
+    kept = {r.doc_id: b[3].decode("utf-8", "ignore") for r, b in zip(given, suffix_brute(
+        [r.text for r in given], corpus_pipeline.SPAN.bytes, corpus_pipeline.PASSAGE_WORDS), strict=True)}
     got = three.collect()
     assert {r.doc_id: r.text for r in got} == kept and all(r.n_chars == len(r.text) for r in got)
 
@@ -97,3 +98,19 @@ def test_copies_leave_one_whole_text(spark):
     got = Counter((r.doc_id, r.text.split("0")[0]) for r in whole)
     assert got == Counter([(7, "same"), (9, "again"), (None, "none"), (11, "near"), (13, "one"), (13, "two")])
     assert all(len(r.text) >= len(words(r.text.split("0")[0])) for r in whole)
+
+
+def test_short_passages_go_and_short_runs_stay(spark):
+    """A passage of 60 words and 300 bytes that two documents share goes; a shared line of 30 long words stays."""
+    prepare(spark)
+    own = lambda i: " ".join(f"{chr(97 + i)}{j}{chr(97 + i)}" for j in range(80))
+    passage = " ".join(f"p{j % 7}{j:02d}" for j in range(60))
+    line = " ".join(f"lineofalicense{j}" for j in range(30))
+    assert len(passage) < 310 and len(line) > 400
+    given = [f"{own(0)} {passage} {own(1)}", f"{own(2)} {passage}", f"{own(3)}\n{line}\n{own(4)}", f"{own(5)}\n{line}\n"]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(given)],
+                              "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["repeated_passages"](spark, d, "").collect()}
+    assert not any(w in got[i] for i in (0, 1) for w in passage.split(" ")[1:-1])
+    assert own(0) in got[0] and own(1) in got[0] and own(2) in got[1]
+    assert (got[2], got[3]) == (given[2], given[3])

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import pytest
 from cases import SCHEMA, docs, empty, rows
@@ -7,10 +8,10 @@ from cases import SCHEMA, docs, empty, rows
 from riskgrid.llm import suffix_dedup
 from riskgrid.llm.common import prepare
 
-SPAN = suffix_dedup.SPAN
+SPAN = suffix_dedup.CONTRACT.bytes
 
 
-def brute(texts):
+def brute(texts, SPAN=SPAN, least_words=0):
     """(n_bytes, n_removed, n_spans, kept) by text."""
     raws = [(t or "").encode() for t in texts]
     seen = {}
@@ -23,6 +24,9 @@ def brute(texts):
         for i in range(len(r) - SPAN + 1):
             if seen[r[i:i + SPAN]] > 1:
                 gone[i:i + SPAN] = b"\1" * SPAN
+        for run in list(re.finditer(b"\1+", bytes(gone))) if least_words else []:
+            if len(r[run.start():run.end()].split()) < least_words:
+                gone[run.start():run.end()] = bytes(run.end() - run.start())
         out.append((len(r), sum(gone), len([x for x in bytes(gone).split(b"\0") if x]),
                     bytes(b for b, g in zip(r, gone, strict=True) if not g)))
     return out
@@ -69,3 +73,15 @@ def test_awkward_rows(spark):
     assert sorted(map(str, ((r.doc_id, r.text, r.lang) for r in kept.collect()))) == sorted(
         map(str, ((r[0], None if r[1] is None else by_text[r[1]], r[2]) for r in rows())))
     assert suffix_dedup.removed(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize(("hot", "hot_bytes"), [(2000, 1 << 19), (5, 1 << 19), (2000, 3000)])
+def test_shorter_spans(spark, monkeypatch, hot, hot_bytes):
+    prepare(spark)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", hot_bytes)
+    texts = planted(7)
+    d = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    for least in (0, 60):
+        got = {r.doc_id: r.text for r in suffix_dedup.without_repeats(d, suffix_dedup.PASSAGE, least).collect()}
+        assert got == {i: b[3].decode("utf-8", "ignore") for i, b in enumerate(brute(texts, suffix_dedup.PASSAGE.bytes, least))}
