@@ -15,6 +15,8 @@ from riskgrid.llm.common import documents, prepare, written
 
 #: Words of a shingle of the near-dedup stage, and the most epochs of a source in the mixture.
 SHINGLE_WORDS, MAX_REPEATS = 5, 1.25
+#: The repeated passages that go: strings of this many bytes that occur elsewhere, where they make a run of over 50 words.
+SPAN, PASSAGE_WORDS = suffix_dedup.PASSAGE, 51
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +32,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 400 bytes that occur elsewhere; ``n_chars`` follows the text."""
+    """Texts without passages of over 50 words that occur elsewhere (runs of strings of ``SPAN.bytes`` bytes that
+    do); ``n_chars`` follows the text."""
     prepare(spark)
-    out = suffix_dedup.without_repeats(docs)
+    out = suffix_dedup.without_repeats(docs, SPAN, PASSAGE_WORDS)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars"))
                           .otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
 
