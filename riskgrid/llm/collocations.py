@@ -1,6 +1,6 @@
 """Phrase collocation mining (13) over count streams in prefix and suffix order.
 
-Phrases of one word up to ``max_words`` words are counted by language (map-side sums first), and those of several words that are
+Phrases of one word up to ``max_words`` words are counted by language (first in chunks of many texts), and those of several words that are
 too rare are dropped: every part of a frequent phrase is at least as frequent.  The counts then form two sorted streams:
 
 * in *suffix order* (last word first) a phrase follows all phrases that it ends with.  One pass holds the open ones on a stack and
@@ -17,11 +17,18 @@ texts of any length are counted whole; an empty table gives no rows.  Only ``tex
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskgrid.llm.common import documents, partitions, written
+from riskgrid.llm.common import documents, partitions, text_chunks, written
+from riskgrid.llm.textkernel import LOWER as FOLD
+from riskgrid.llm.textkernel import BASE, ByteHashes, buffers, mixed
 
 #: Contract of the query: words of a phrase, least count, share (hundredths) of an extension that absorbs, rows a language.
 MAX_WORDS, LEAST, ABSORB_PCT, TOP = 3, 10, 50, 2000
@@ -32,23 +39,137 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Parts that a language's phrases are ranked in before their best meet.
 PARTS = 64
 
+#: Kinds of bytes: 1 blank, 2 end of a piece, 0 part of a word.
+KIND = np.zeros(256, np.int8)
+KIND[[0x20, 0x09]] = 1
+KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
+#: Bytes of text that are counted at once in a task, and rows that go to Spark at once.
+CHUNK, OUT_ROWS = 12 << 20, 1 << 16
+#: Bits of the bitmap of frequent words and pairs (16 MB).
+FILTER_BITS = 27
+
+COUNTS = "lang string, words int, phrase string, a long"
 STREAM = "lang string, phrase string, a long, ext long, left array<long>, right array<long>"
 ROW, OPEN, BEFORE = 0, 1, 2
 
 
-def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
-    """``lang, phrase, words, a``: how often each phrase of up to ``max_words`` words occurs within pieces."""
-    text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    pieces = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(text, ENDS, -1)).alias("piece"))
-    words = pieces.select("lang", F.filter(F.split("piece", BLANKS, -1), lambda w: w != "").alias("w"))
+class Words:
+    """The words of the texts of a chunk (no nulls in either array): ``start``, ``doc``, ``hash``, and ``more``, whether the next
+    word follows in the same piece."""
+
+    def __init__(self, texts: pa.Array, langs: pa.Array):
+        data, offsets = buffers(texts)
+        data = FOLD[data]
+        kind = KIND[data]
+        inside = kind == 0
+        begin, stop = inside.copy(), inside.copy()
+        begin[1:] &= ~inside[:-1]
+        stop[:-1] &= ~inside[1:]
+        edge = offsets[:-1][np.diff(offsets) > 0]           # a word never goes over from one text into the next
+        begin[edge] = inside[edge]
+        stop[edge[1:] - 1] = inside[edge[1:] - 1]
+        self.data, self.inside = data, inside
+        self.start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+        self.doc = np.searchsorted(offsets, self.start, side="right") - 1
+        # words of one piece have the same number of ends before them, and one text
+        ends = np.cumsum(kind == 2, dtype=np.int32)[self.start]
+        self.more = np.zeros(len(self.start), bool)
+        self.more[:-1] = (ends[1:] == ends[:-1]) & (self.doc[1:] == self.doc[:-1])
+        self.lang = langs.dictionary_encode()
+        salt = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little")
+                         for x in self.lang.dictionary.to_pylist()], np.uint64)
+        self.hash = mixed(ByteHashes(data).of(self.start, end) ^ salt[self.lang.indices.to_numpy()[self.doc]]) if len(end) else np.zeros(0, np.uint64)
+
+    def pairs(self) -> np.ndarray:
+        """Hash of each word with the next one (only of use where ``more``)."""
+        return mixed(self.hash * np.uint64(BASE) + np.roll(self.hash, -1))
+
+    def ids(self) -> tuple[np.ndarray, pa.Array]:
+        """Each word's place in the distinct words, and these."""
+        at = np.concatenate((np.cumsum(self.inside, dtype=np.int32)[self.start] - 1, [np.count_nonzero(self.inside)])).astype(np.int32)
+        found = pa.StringArray.from_buffers(len(self.start), pa.py_buffer(at), pa.py_buffer(self.data[self.inside])).dictionary_encode()
+        return found.indices.to_numpy().astype(np.int64), found.dictionary
+
+
+def _by_chunk(docs: DataFrame, made, schema: str) -> DataFrame:
+    """Rows of ``made(words)`` for the texts of each chunk."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        held, size = [], 0
+
+        def out():
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held.clear()
+            for columns in made(Words(rows.column("text"), rows.column("lang"))):
+                batch = pa.RecordBatch.from_arrays(list(columns), names)
+                yield from (batch.slice(i, OUT_ROWS) for i in range(0, len(batch), OUT_ROWS))
+
+        for batch in batches:
+            for first, last in text_chunks(batch):
+                held.append(batch.slice(first, last - first))
+                size += pc.sum(pc.binary_length(held[-1].column("text"))).as_py() or 0
+                if size >= CHUNK:
+                    yield from out()
+                    size = 0
+        if held:
+            yield from out()
+
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
+    return rows.mapInArrow(run, schema)
+
+
+def _frequent(docs: DataFrame, least: int, bits: int = FILTER_BITS) -> Broadcast:
+    """A bitmap of fixed size, set where the hash of a word or pair of words that occurs ``least`` times falls.  What isn't set is
+    rarer for sure; what is set by chance is counted in vain."""
+    def hashes(words):
+        for h in (words.hash, words.pairs()[words.more]):
+            h, n = np.unique(h, return_counts=True)
+            yield pa.array(h.view(np.int64)), pa.array(n)
+
+    often = _by_chunk(docs, hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    place = F.pmod(F.col("h"), F.lit(1 << bits))
+    cells = (often.select(F.shiftright(place, 5).cast("int").alias("cell"), F.pmod(place, F.lit(32)).cast("int").alias("bit"))
+             .groupBy("cell").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("value")).toArrow())
+    bitmap = np.zeros(1 << (bits - 5), np.uint32)           # at most so many cells come back
+    bitmap[cells["cell"].to_numpy()] = cells["value"].to_numpy().astype(np.uint32)
+    return docs.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST) -> DataFrame:
+    """``COUNTS``: how often each phrase of up to ``max_words`` words occurs within pieces, for phrases of at least ``least``
+    occurrences; a row with no words has the number of all words of its language.
+
+    Texts are read twice: once for a bitmap of the frequent words and pairs, once to count the phrases whose words and pairs
+    are all in it.  The counts are exact."""
+    often = _frequent(docs, least)
+
+    def counts(words):
+        def known(h):
+            place = h & np.uint64((len(often.value) << 5) - 1)
+            return (often.value[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32)) & 1 == 1
 
-    def phrases(m: int) -> Column:
-        at = F.sequence(F.lit(1), F.size("w") - (m - 1))
-        made = F.transform(at, lambda i: F.struct(F.lit(m).alias("words"), F.array_join(F.slice("w", i, m), " ").alias("phrase")))
-        return F.when(F.size("w") >= m, made).otherwise(F.array().cast("array<struct<words:int,phrase:string>>"))
+        lang = words.lang.indices.to_numpy().astype(np.int64)[words.doc]
+        names = words.lang.dictionary
+        n = np.bincount(lang, minlength=len(names))
+        yield names, pa.array(np.zeros(len(names), np.int32)), pa.array([""] * len(names), pa.string()), pa.array(n)
+        word, spelt = words.ids()
+        where = np.flatnonzero(known(words.hash))           # first words of the phrases
+        key = lang[where]
+        pair = known(words.pairs()) & words.more
+        for m in range(1, max_words + 1):
+            if m > 1:                                       # one word longer
+                longer = pair[where + m - 2]
+                where, key = where[longer], key[longer]
+            if not len(where):
+                return
+            _, first, key, n = np.unique(key * len(spelt) + word[where + m - 1], return_index=True, return_inverse=True, return_counts=True)
+            at = where[first]
+            phrase = pc.binary_join_element_wise(*(spelt.take(pa.array(word[at + i])) for i in range(m)), " ")
+            yield names.take(pa.array(lang[at])), pa.array(np.full(len(n), m, np.int32)), phrase, pa.array(n)
 
-    every = words.select("lang", F.explode(F.concat(*(phrases(m) for m in range(1, max_words + 1)))).alias("p"))
-    return every.groupBy("lang", "p.words", "p.phrase").agg(F.count(F.lit(1)).alias("a"))
+    return (_by_chunk(docs, counts, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a"))
+            .where((F.col("a") >= least) | (F.col("words") == 0)))
 
 
 def _with_place(array: str, place: int, value: Column) -> Column:
@@ -129,10 +250,10 @@ def mine(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST, absorb
     ``least`` times and in no longer such phrase with ``absorb_pct`` hundredths of their count.  ``score`` is the least
     over the cuts of ``floor(SCALE * a * a / (l * r))``, exact."""
     parts = partitions(docs)
-    counts = written(phrase_counts(docs, max_words).where((F.col("a") >= least) | (F.col("words") == 1)))
-    n = counts.where(F.col("words") == 1).groupBy("lang").agg(F.sum("a").alias("n"))
+    counts = written(phrase_counts(docs, max_words, least))
+    n = counts.where("words = 0").select("lang", F.col("a").alias("n"))
     none = F.lit(None).cast("array<long>")
-    stream = counts.where(F.col("a") >= least).select("lang", "phrase", "a", F.lit(0).cast("long").alias("ext"), none.alias("left"), none.alias("right"))
+    stream = counts.where("words > 0").select("lang", "phrase", "a", F.lit(0).cast("long").alias("ext"), none.alias("left"), none.alias("right"))
     rows = _pass(_pass(stream, "right", max_words, parts), "left", max_words, parts)
     m = F.size("left") + 1
     cuts = []

@@ -47,9 +47,13 @@ def text_rows(seed=1, n=150, hot=0.4):
     return rows + rows[:5]
 
 
-@pytest.mark.parametrize(("max_words", "least", "absorb", "top"), [(3, 10, 50, 2000), (3, 2, 70, 15), (4, 3, 50, 2000), (2, 1, 50, 40)])
-def test_against_brute_force(spark, max_words, least, absorb, top):
+@pytest.mark.parametrize(("max_words", "least", "absorb", "top", "chunk", "bits"), [
+    (3, 10, 50, 2000, 1 << 20, 27), (3, 2, 70, 15, 500, 27), (4, 3, 50, 2000, 1 << 20, 6), (2, 1, 50, 40, 2000, 10)])
+def test_against_brute_force(spark, monkeypatch, max_words, least, absorb, top, chunk, bits):
+    """Also in small chunks, and with a bitmap that is nearly full."""
     prepare(spark)
+    monkeypatch.setattr(co, "CHUNK", chunk)
+    monkeypatch.setattr(co._frequent, "__defaults__", (bits,))
     rows = text_rows()
     d = spark.createDataFrame([(t, lang, "x", 1, "y", 2) for t, lang in rows], SCHEMA).repartition(5)
     got = sorted(map(tuple, co.mine(d, max_words, least, absorb, top).collect()))
@@ -75,11 +79,12 @@ def test_products_past_64_bits(spark):
     prepare(spark)
     a = 3_000_000_000
     none = "cast(null as array<long>)"
-    counts = spark.sql(f"""select 'en' lang, p phrase, size(split(p, ' ')) words, c a from values ('u', {a}L), ('v', {a + 7}L), ('u v', {a - 5}L) t(p, c)""")
-    stream = counts.selectExpr("lang", "phrase", "a", "0L ext", f"{none} left", f"{none} right")
+    counts = spark.sql(f"""select 'en' lang, p phrase, if(p = '', 0, size(split(p, ' '))) words, c a
+                           from values ('u', {a}L), ('v', {a + 7}L), ('u v', {a - 5}L), ('', {2 * a + 7}L) t(p, c)""")
+    stream = counts.where("words > 0").selectExpr("lang", "phrase", "a", "0L ext", f"{none} left", f"{none} right")
     rows = {r["phrase"]: r for r in co._pass(co._pass(stream, "right", 3, 3), "left", 3, 3).collect()}
     assert (rows["u v"]["left"], rows["u v"]["right"]) == ([a], [a + 7]) and rows["u"]["ext"] == rows["v"]["ext"] == a - 5
-    real, co.phrase_counts = co.phrase_counts, lambda docs, m: counts
+    real, co.phrase_counts = co.phrase_counts, lambda docs, m, least: counts
     try:
         got = co.mine(counts).collect()
     finally:
