@@ -21,6 +21,7 @@ HEADLINE = [
     "distance_to_event_km",
     "nearest_event",
     "dbscan_per_user",
+    "dbscan_all",
     "main_cluster",
     "cluster_metrics",
 ]

@@ -1,7 +1,7 @@
 """Cluster-quality metrics over labelled points (AG7b, AG7c, AG9, AG10, ST3, FI9).
 
 Everything is per-cluster sums: centroids by ``groupBy``, spreads by a join of the points with their centroid
-(broadcast when the centroids, counted, are few; else a shuffle that AQE splits), so the work is linear in the
+(broadcast when their written table is small; else a shuffle that AQE splits), so the work is linear in the
 points.  Davies-Bouldin looks for each centroid's worst neighbour on a grid that widens until no farther
 centroid can be worse.
 """
@@ -12,16 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskgrid.operators.cluster import global_rank
-
-#: Centroid rows (fixed-width columns) that may be broadcast.
-BROADCAST_ROWS = 200_000
+from riskgrid.session import Tables
 
 
 def _xy(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.withColumn("_mx", F.col(x).cast("double")).withColumn("_my", F.col(y).cast("double"))
 
 
-def _worst_neighbours(cent: DataFrame, by: list[str]) -> DataFrame:
+def _worst_neighbours(cent: DataFrame, by: list[str], tables: Tables) -> DataFrame:
     """``_i, _r``: max over j of (S_i + S_j) / d(c_i, c_j), without all pairs (0 between equal centroids).
 
     A centroid compared with all others up to a distance g is done when (S_i + S_max) / g is no more than
@@ -44,7 +42,7 @@ def _worst_neighbours(cent: DataFrame, by: list[str]) -> DataFrame:
         found = (a.join(b, by + ["_gx", "_gy"]).where("_i <> _j").withColumn("_d", d)
                  .groupBy(*by, "_i").agg(F.max(F.when(F.col("_d") > 0, (F.col("_s") + F.col("_bs")) / F.col("_d")).otherwise(0.0))
                                          .alias("_r")))
-        seen = todo.join(found, by + ["_i"], "left").checkpoint(eager=True)
+        seen = tables.kept(todo.join(found, by + ["_i"], "left"))
         ready = F.lit(True) if whole else F.coalesce((F.col("_s") + F.lit(s_max)) / g <= F.col("_r"), F.lit(False))
         part = seen.where(ready).select(*by, "_i", "_r")
         done = part if done is None else done.unionByName(part)
@@ -66,22 +64,26 @@ def centroid_metrics(points: DataFrame, label: str = "cluster", x: str = "longit
     tot = p.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_mx").alias("_ox"), F.avg("_my").alias("_oy"))
     k = cent.groupBy(*by).agg(F.count(F.lit(1)).alias("k"))
     # within: squared distances and plain distances to the own centroid
-    cent = cent.checkpoint(eager=True)
-    pj = p.join(F.broadcast(cent) if cent.count() <= BROADCAST_ROWS else cent, by + [label])
+    tables = Tables(points.sparkSession)
+    cent = tables.kept(cent)
+    pj = p.join(cent, by + [label])
     dx, dy = F.col("_mx") - F.col("_cx"), F.col("_my") - F.col("_cy")
     within = pj.groupBy(*by, label).agg(F.sum(dx * dx + dy * dy).alias("_w"), F.avg(F.sqrt(dx * dx + dy * dy)).alias("_s"))
-    cw = cent.join(within, by + [label]).checkpoint(eager=True)
+    cw = tables.kept(cent.join(within, by + [label]))
     between = cw.join(tot, by) if by else cw.crossJoin(F.broadcast(tot))
     bx, byy = F.col("_cx") - F.col("_ox"), F.col("_cy") - F.col("_oy")
     sums = between.groupBy(*by).agg(F.sum(F.col("_ni") * (bx * bx + byy * byy)).alias("B"), F.sum("_w").alias("W"))
-    r = _worst_neighbours(cw.select(*by, F.col(label).alias("_i"), "_cx", "_cy", "_s"), by)
+    r = _worst_neighbours(cw.select(*by, F.col(label).alias("_i"), "_cx", "_cy", "_s"), by, tables)
     db = r.groupBy(*by).agg(F.avg("_r").alias("davies_bouldin"))
     out = tot.join(k, by) if by else tot.crossJoin(k)
     out = (out.join(sums, by) if by else out.crossJoin(sums))
     out = (out.join(db, by, "left") if by else out.crossJoin(db))
     ok = (F.col("k") >= 2) & (F.col("k") < F.col("n"))
     ch = F.when(F.col("W") == 0, F.lit(1.0)).otherwise((F.col("B") / (F.col("k") - 1)) / (F.col("W") / (F.col("n") - F.col("k"))))
-    return out.select(*by, "n", "k", F.when(ok, ch).alias("calinski_harabasz"), F.when(ok, F.col("davies_bouldin")).alias("davies_bouldin"))
+    out = tables.result(out.select(*by, "n", "k", F.when(ok, ch).alias("calinski_harabasz"),
+                                   F.when(ok, F.col("davies_bouldin")).alias("davies_bouldin")))
+    tables.drop()
+    return out
 
 
 def top_labels(labelled: DataFrame, label: str = "label_all", n: int | None = None) -> DataFrame:
@@ -90,7 +92,10 @@ def top_labels(labelled: DataFrame, label: str = "label_all", n: int | None = No
     if n:
         # the n smallest: a top-n, not a sort of all labels in one task
         return d.orderBy("label").limit(n).withColumn("rank", F.row_number().over(Window.orderBy("label")))
-    return global_rank(d, "label", "rank").withColumn("rank", F.col("rank") + 1)
+    tables = Tables(labelled.sparkSession)
+    out = tables.result(global_rank(d, ["label"], "rank", tables).withColumn("rank", F.col("rank") + 1))
+    tables.drop()
+    return out
 
 
 def metric_sweep(points_all: DataFrame, n_values=range(2, 11), label_all: str = "label_all",

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library relies on.  Applied only where the session has no value.
 DEFAULT_CONF = {
@@ -69,6 +70,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+class Tables:
+    """Tables of one job, written as Parquet into the shared checkpoint folder: they cut the lineage, survive lost
+    executors, and carry their size, by which Spark decides what to broadcast.  ``drop`` removes those that were only
+    kept; a ``result`` stays."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{ensure_checkpoint_dir(spark)}/riskgrid-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}-{name}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        return self._written(df, "kept")
+
+    def result(self, df: DataFrame) -> DataFrame:
+        return self._written(df, "result")
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}-kept")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -8,6 +8,7 @@ from riskgrid.functions import text, wkt
 from riskgrid.operators import cluster, events, metrics, spatial
 from riskgrid.plans.queries import customers, standard_events_plan
 from riskgrid.schema import CUSTOMER
+from riskgrid.session import Tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -295,5 +296,5 @@ def test_worst_neighbour_without_all_pairs(spark):
 
 def test_global_rank_is_dense_and_ordered(spark):
     df = spark.range(0, 3000, 7).select((F.col("id") * 3).alias("k"))
-    got = [(r["k"], r["r"]) for r in cluster.global_rank(df, "k", "r").orderBy("k").collect()]
+    got = [(r["k"], r["r"]) for r in cluster.global_rank(df, ["k"], "r", Tables(spark)).orderBy("k").collect()]
     assert [r for _, r in got] == list(range(len(got)))
