@@ -44,7 +44,7 @@ KIND = np.zeros(256, np.int8)
 KIND[[0x20, 0x09]] = 1
 KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 #: Bytes of text that are counted at once in a task, and rows that go to Spark at once.
-CHUNK, OUT_ROWS = 12 << 20, 1 << 16
+CHUNK, OUT_ROWS = 3 << 20, 1 << 15
 #: Bits of the bitmap of frequent words and pairs (16 MB).
 FILTER_BITS = 27
 
