@@ -18,6 +18,7 @@ texts of any length are counted whole; an empty table gives no rows.  Only ``tex
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +45,9 @@ KIND = np.zeros(256, np.int8)
 KIND[[0x20, 0x09]] = 1
 KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 #: Bytes of text that are counted at once in a task, and rows that go to Spark at once.
-CHUNK, OUT_ROWS = 3 << 20, 1 << 15
-#: Bits of the bitmap of frequent words and pairs (16 MB).
-FILTER_BITS = 27
+CHUNK, OUT_ROWS = 2 << 20, 1 << 15
+#: Bits of the bitmap of frequent words and pairs (16 MB), and hashes that a task gathers before they move.
+FILTER_BITS, HELD = 27, 3 << 20
 
 COUNTS = "lang string, words int, phrase string, a long"
 STREAM = "lang string, phrase string, a long, ext long, left array<long>, right array<long>"
@@ -91,46 +92,91 @@ class Words:
         return found.indices.to_numpy().astype(np.int64), found.dictionary
 
 
-def _by_chunk(docs: DataFrame, made, schema: str) -> DataFrame:
-    """Rows of ``made(words)`` for the texts of each chunk."""
-    names = [c.split()[0] for c in schema.split(", ")]
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
 
-    def run(batches):
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
+    """The words of about ``CHUNK`` bytes of text at a time."""
+    held, size = [], 0
+
+    def whole():
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        return Words(rows.column("text"), rows.column("lang"))
+
+    for batch in batches:
+        for first, last in text_chunks(batch):
+            held.append(batch.slice(first, last - first))
+            size += pc.sum(pc.binary_length(held[-1].column("text"))).as_py() or 0
+            if size >= CHUNK:
+                yield whole()
+                held, size = [], 0
+    if held:
+        yield whole()
+
+
+def _place(h: np.ndarray, bits: int) -> np.ndarray:
+    """Where in a bitmap a hash falls: by the lower 40 bits, scrambled by a factor."""
+    return (h & np.uint64((1 << 40) - 1)) * np.uint64(BASE) >> np.uint64(64 - bits)
+
+
+def _frequent(docs: DataFrame, least: int, bits: int = FILTER_BITS) -> Broadcast:
+    """A bitmap of fixed size, set where the hash of a word or pair of words that occurs ``least`` times falls.  What isn't set is
+    rarer for sure; what is set by chance is counted in vain."""
+    buckets = 2 * partitions(docs)
+
+    def packed(batches):
+        # the hashes of a task, in sorted lists of five bytes each by bucket; more than least copies tell nothing new
         held, size = [], 0
 
         def out():
-            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            h, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            for columns in made(Words(rows.column("text"), rows.column("lang"))):
-                batch = pa.RecordBatch.from_arrays(list(columns), names)
-                yield from (batch.slice(i, OUT_ROWS) for i in range(0, len(batch), OUT_ROWS))
+            h = np.repeat(h, np.minimum(n, least))
+            bucket = (h >> np.uint64(40)).astype(np.int64) * buckets >> 24
+            first = np.searchsorted(bucket, np.arange(buckets + 1))
+            low = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :5]
+            some = np.flatnonzero(np.diff(first))
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(
+                [low[first[i]:first[i + 1]].tobytes() for i in some], pa.binary())], ["bucket", "hashes"])
 
         for batch in batches:
-            for first, last in text_chunks(batch):
-                held.append(batch.slice(first, last - first))
-                size += pc.sum(pc.binary_length(held[-1].column("text"))).as_py() or 0
-                if size >= CHUNK:
+            for words in _chunks([batch]):
+                for h in (words.hash, words.pairs()[words.more]):
+                    held.append(h)
+                    size += len(h)
+                if size >= HELD:
                     yield from out()
                     size = 0
         if held:
             yield from out()
 
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
-    return rows.mapInArrow(run, schema)
+    def often(batches):
+        # all lists of a bucket are consecutive
+        at, held = None, []
 
+        def out():
+            raw = np.frombuffer(b"".join(held), np.uint8).reshape(-1, 5)
+            h = np.zeros((len(raw), 8), np.uint8)
+            h[:, :5] = raw
+            h, n = np.unique(h.view(np.uint64).ravel(), return_counts=True)
+            place = _place(h[n >= least], bits)
+            return pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(5)).astype(np.int32)), pa.array((place & np.uint64(31)).astype(np.int32))],
+                                              ["cell", "bit"])
 
-def _frequent(docs: DataFrame, least: int, bits: int = FILTER_BITS) -> Broadcast:
-    """A bitmap of fixed size, set where the hash of a word or pair of words that occurs ``least`` times falls.  What isn't set is
-    rarer for sure; what is set by chance is counted in vain."""
-    def hashes(words):
-        for h in (words.hash, words.pairs()[words.more]):
-            h, n = np.unique(h, return_counts=True)
-            yield pa.array(h.view(np.int64)), pa.array(n)
-
-    often = _by_chunk(docs, hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    place = F.pmod(F.col("h"), F.lit(1 << bits))
-    cells = (often.select(F.shiftright(place, 5).cast("int").alias("cell"), F.pmod(place, F.lit(32)).cast("int").alias("bit"))
-             .groupBy("cell").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("value")).toArrow())
+        for batch in batches:
+            for bucket, hashes in zip(batch.column("bucket").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+                if bucket != at:
+                    if held:
+                        yield out()
+                    at, held = bucket, []
+                held.append(hashes)
+        if held:
+            yield out()
+
+    lists = _texts(docs).mapInArrow(packed, "bucket int, hashes binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    cells = (lists.mapInArrow(often, "cell int, bit int").groupBy("cell")
+             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("value")).toArrow())
     bitmap = np.zeros(1 << (bits - 5), np.uint32)           # at most so many cells come back
     bitmap[cells["cell"].to_numpy()] = cells["value"].to_numpy().astype(np.uint32)
     return docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -143,16 +189,24 @@ def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAS
     Texts are read twice: once for a bitmap of the frequent words and pairs, once to count the phrases whose words and pairs
     are all in it.  The counts are exact."""
     often = _frequent(docs, least)
+    bits = len(often.value).bit_length() + 4
+    names = [c.split()[0] for c in COUNTS.split(", ")]
+
+    def run(batches):
+        for words in _chunks(batches):
+            for columns in counts(words):
+                batch = pa.RecordBatch.from_arrays(list(columns), names)
+                yield from (batch.slice(i, OUT_ROWS) for i in range(0, len(batch), OUT_ROWS))
 
     def counts(words):
         def known(h):
-            place = h & np.uint64((len(often.value) << 5) - 1)
+            place = _place(h, bits)
             return (often.value[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32)) & 1 == 1
 
         lang = words.lang.indices.to_numpy().astype(np.int64)[words.doc]
-        names = words.lang.dictionary
-        n = np.bincount(lang, minlength=len(names))
-        yield names, pa.array(np.zeros(len(names), np.int32)), pa.array([""] * len(names), pa.string()), pa.array(n)
+        langs = words.lang.dictionary
+        n = np.bincount(lang, minlength=len(langs))
+        yield langs, pa.array(np.zeros(len(langs), np.int32)), pa.array([""] * len(langs), pa.string()), pa.array(n)
         word, spelt = words.ids()
         where = np.flatnonzero(known(words.hash))           # first words of the phrases
         key = lang[where]
@@ -166,9 +220,9 @@ def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAS
             _, first, key, n = np.unique(key * len(spelt) + word[where + m - 1], return_index=True, return_inverse=True, return_counts=True)
             at = where[first]
             phrase = pc.binary_join_element_wise(*(spelt.take(pa.array(word[at + i])) for i in range(m)), " ")
-            yield names.take(pa.array(lang[at])), pa.array(np.full(len(n), m, np.int32)), phrase, pa.array(n)
+            yield langs.take(pa.array(lang[at])), pa.array(np.full(len(n), m, np.int32)), phrase, pa.array(n)
 
-    return (_by_chunk(docs, counts, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a"))
+    return (_texts(docs).mapInArrow(run, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a"))
             .where((F.col("a") >= least) | (F.col("words") == 0)))
 
 
