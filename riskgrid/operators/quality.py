@@ -1,8 +1,7 @@
 """Geometry quality: GE3 validity, GE4 repair, FI3/FI4 valid/rejected split, AG1 counts.
 
-Validity and repair are numpy kernels behind Arrow pandas UDFs, evaluated in a
-projection on the polygon table itself (no join above them); repair runs only on
-rows that fail the check (per row, not the whole layer, Q10)."""
+Validity is a relational job over edges (``validity``).  Repair is an Arrow-batched kernel that runs only on rows that fail
+the check (per row, not the whole layer, Q10); its result is checked again."""
 
 from __future__ import annotations
 
@@ -10,21 +9,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgrid.functions import udfs, wkt
+from riskgrid.operators.validity import validity
+from riskgrid.session import Tables
 
 
 def check_polygons(df: DataFrame, wkt_col: str = "polig") -> DataFrame:
-    """Adds ``is_valid`` (GE3), ``repaired`` WKT for invalid rows (GE4) and ``valid_after`` (GE3 of the repaired one)."""
-    keep = list(df.columns)
-    g = udfs.geom_kernel(df.withColumn("_g", wkt.parse_wkt(F.col(wkt_col))), "_g", "is_valid", "is_valid", keep)
-    bad = g.filter(~F.col("is_valid"))
-    good = g.filter(F.col("is_valid") | F.col("is_valid").isNull())
-    rep = udfs.geom_kernel(bad.withColumn("_g", wkt.parse_wkt(F.col(wkt_col))), "_g", "repair_wkt", "repaired",
-                           keep + ["is_valid"])
-    rep = udfs.geom_kernel(rep.withColumn("_g", wkt.parse_wkt(F.col("repaired"))), "_g", "is_valid", "valid_after",
-                           [*keep, "is_valid", "repaired"])
-    rep = rep.withColumn("valid_after", F.coalesce("valid_after", F.lit(False)))
-    good = good.withColumn("repaired", F.lit(None).cast("string")).withColumn("valid_after", F.coalesce(F.col("is_valid"), F.lit(False)))
-    return good.unionByName(rep)
+    """Adds ``is_valid`` (GE3, null for null geometry), ``repaired`` WKT for invalid rows (GE4) and ``valid_after`` (GE3 of the
+    repaired one; an empty result is not valid)."""
+    tables = Tables(df.sparkSession)
+    rows = tables.kept(df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_g", wkt.parse_wkt(F.col(wkt_col))))
+    checked = tables.kept(rows.join(validity(rows, "_row", "_g"), "_row"))
+    mended = tables.kept(udfs.repaired(checked.where("not is_valid"), "_g", "repaired", ["_row"])
+                         .withColumn("_g", wkt.parse_wkt(F.col("repaired"))))
+    again = validity(mended.where("_g.xmin is not null"), "_row", "_g").withColumnRenamed("is_valid", "valid_again")
+    out = (checked.drop("_g").join(mended.drop("_g"), "_row", "left").join(again, "_row", "left")
+           .withColumn("valid_after", F.coalesce(F.col("is_valid") | F.col("valid_again"), F.lit(False))))
+    out = tables.result(out.select(*df.columns, "is_valid", "repaired", "valid_after"))
+    tables.drop()
+    return out
 
 
 def valid_polygons(checked: DataFrame, wkt_col: str = "polig") -> DataFrame:

@@ -44,7 +44,7 @@ def standard_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standard_events_plan(spark, sf_dir)
 
 
-def impact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def impact_events(spark: SparkSession, sf_dir: str) -> spatial.Prepared:
     return spatial.prepare_events(standard_events(spark, sf_dir))
 
 
@@ -226,7 +226,7 @@ def q_affected_area_pct(spark, sf_dir):
     c = customers(spark, sf_dir).filter(F.col("polig_customer").isNotNull())
     e = impact_events(spark, sf_dir)
     p = spatial.area_pct_pairs(c, e)
-    p = spatial.attach(p.select("id_customer", "_ek", "percentage_area_affected"), e, ["id_polig_evento"])
+    p = spatial.attach(p.select("id_customer", "_ek", "percentage_area_affected"), e.rows, ["id_polig_evento"])
     return p.select("id_customer", "id_polig_evento", F.round("percentage_area_affected", 4).alias("percentage_area_affected")) \
         .filter(F.col("percentage_area_affected") != 0)
 
@@ -290,7 +290,7 @@ def q_distance_to_event_km(spark, sf_dir):
     """JO3 as a 50 km band: km from each point or polygon customer to every event it is apart from, in the band."""
     e = impact_events(spark, sf_dir)
     d = spatial.distance_pairs(customers(spark, sf_dir), e, BAND_KM)
-    d = spatial.attach(d.select("id_customer", "_ek", "distance_to_event"), e, ["id_polig_evento"])
+    d = spatial.attach(d.select("id_customer", "_ek", "distance_to_event"), e.rows, ["id_polig_evento"])
     return d.select("id_customer", "id_polig_evento", F.round("distance_to_event", 6).alias("distance_to_event"))
 
 
@@ -653,5 +653,5 @@ def q_user_place_hits(spark, sf_dir):
     places = spatial.user_place_customers(cluster.main_cluster(cluster.dbscan_per_user(pings(spark, sf_dir))))
     e = impact_events(spark, sf_dir)
     hits = spatial.intersecting_pairs(places, e)
-    hits = spatial.attach(hits.select("description", "_ek"), e, ["id_polig_evento"])
+    hits = spatial.attach(hits.select("description", "_ek"), e.rows, ["id_polig_evento"])
     return hits.select("description", "id_polig_evento")

@@ -70,8 +70,8 @@ def test_grid_join_equals_brute_force(spark, force_shuffle):
     c = spatial.prepare_customers(c)
     got = {(r[0], r[1]) for r in spatial.intersecting_pairs(c, e, cfg).select("id_customer", "_ek").collect()}
     # brute force: every pair, numpy kernel on all of them
-    cg = c.filter(F.col("_cg").isNotNull())
-    allp = cg.crossJoin(e.select("_ek", "_eg"))
+    cg = c.rows.filter(F.col("_cg").isNotNull())
+    allp = cg.crossJoin(e.rows.select("_ek", "_eg"))
     from riskgrid.functions import udfs
     brute = udfs.pair_kernel(allp, "_cg", "_eg", "intersects", "_hit", ["id_customer", "_ek"]).filter("_hit")
     want = {(r[0], r[1]) for r in brute.select("id_customer", "_ek").collect()}
@@ -298,3 +298,41 @@ def test_global_rank_is_dense_and_ordered(spark):
     df = spark.range(0, 3000, 7).select((F.col("id") * 3).alias("k"))
     got = [(r["k"], r["r"]) for r in cluster.global_rank(df, ["k"], "r", Tables(spark)).orderBy("k").collect()]
     assert [r for _, r in got] == list(range(len(got)))
+
+
+def test_nearest_event_equals_brute_force(spark):
+    """Customers near, far, across the date line, at a pole, inside; events of equal shape; null and invalid geometry."""
+    from riskgrid.functions import udfs
+    rng = np.random.default_rng(9)
+
+    def square(x, y, h):
+        return f"POLYGON (({x - h} {y - h}, {x + h} {y - h}, {x + h} {y + h}, {x - h} {y + h}, {x - h} {y - h}))"
+
+    ev = [("t", "o", square(x, y, h), " ", str(i)) for i, (x, y, h) in enumerate(
+        [(round(float(rng.uniform(-60, -40)), 2), round(float(rng.uniform(-35, -5)), 2), round(float(rng.uniform(0.01, 1)), 2)) for _ in range(150)])]
+    ev += [("t", "o", square(179.5, -10, 0.4), " ", "a"), ("t", "o", square(179.5, -10, 0.4), " ", "b"), ("t", "o", "POLYGON ((0 0, 1 1, 1 0, 0 1, 0 0))", " ", "c"),
+           ("t", "o", None, " ", "d"), ("t", "o", "POLYGON EMPTY", " ", "e")]
+    ev = spark.createDataFrame(ev, "tipo_evento string, origem string, polig string, additional_value string, data_run string")
+    ev = spatial.prepare_events(ev.withColumn("id_polig_evento", events.event_id()))
+    cu = [(i, float(rng.uniform(-40, 0)), float(rng.uniform(-70, -30)), None, "p") for i in range(60)]
+    cu += [(100 + i, None, None, square(round(float(rng.uniform(-60, -40)), 2), round(float(rng.uniform(-35, -5)), 2), 0.5), "s") for i in range(40)]
+    cu += [(200, -10.0, -179.9, None, "over the date line"), (201, 89.9, 0.0, None, "pole"), (202, None, None, None, "none"),
+           (203, None, None, "POLYGON ((0 0, 1 1, 1 0, 0 1, 0 0))", "bow-tie"), (200, -10.0, -179.9, None, "repeated")]
+    cu = spatial.prepare_customers(spark.createDataFrame(cu, CUSTOMER))
+    got = {(r["description"], r["id_customer"]): (r["id_polig_evento"], r["distance_to_event"]) for r in spatial.nearest_event(cu, ev).collect()}
+    pairs = cu.rows.where("_cv and _cg.xmin is not null").crossJoin(ev.rows.where("_ev and _eg.xmin is not null").select("_ek", "_eg", "id_polig_evento"))
+    want = {}
+    for r in udfs.pair_kernel(pairs, "_cg", "_eg", "apart_km", "km", ["id_customer", "description", "id_polig_evento"]).collect():
+        key, answer = (r["description"], r["id_customer"]), (r["km"], r["id_polig_evento"])
+        want[key] = min(want.get(key, answer), answer)
+    assert {k for k, v in got.items() if v[0] is None} == {("none", 202), ("bow-tie", 203)}
+    assert len(got) == 105 and set(got) - set(want) == {("none", 202), ("bow-tie", 203)}
+    for k, (km, name) in want.items():
+        assert got[k] == (name, pytest.approx(km, abs=1e-9)), k
+
+
+def test_nearest_event_without_events(spark):
+    ev = spark.createDataFrame([], "tipo_evento string, origem string, polig string, additional_value string, data_run string")
+    cu = spark.createDataFrame([(1, -10.0, -50.0, None, "p")], CUSTOMER)
+    r = spatial.nearest_event(cu, ev.withColumn("id_polig_evento", events.event_id())).first()
+    assert (r["id_polig_evento"], r["distance_to_event"]) == (None, None)
