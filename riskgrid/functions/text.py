@@ -34,14 +34,14 @@ def normalise_exact(c: Column) -> Column:
     return _normalise_udf(c)
 
 
-# Accented Latin letters and their ASCII base letters (NFKD of Latin-1 and
-# the Portuguese/Spanish letters); characters outside the table are kept.
-_ACCENTED = "àáâãäåāăąçćčèéêëēęěìíîïīñńňòóôõöōùúûüūůýÿžźż"
-_BASE = "aaaaaaaaa" "ccc" "eeeeeee" "iiiii" "nnn" "oooooo" "uuuuuu" "yy" "zzz"
+#: What a name is compared without: the white space around it and whatever is neither ASCII nor a Latin letter or mark.
+_AROUND, _FOREIGN = "^\\s+|\\s+$", r"[^\x00-\x7F\p{IsLatin}\p{M}]"
 
 
-def normalise_fast(c: Column) -> Column:
-    """JVM-only approximation for Latin text: trim, lower, strip common accents.
-    Equal to ``normalise_exact`` on the hazard names and severity codes used here."""
-    s = F.lower(F.trim(F.coalesce(c, F.lit("none"))))
-    return F.translate(s, _ACCENTED, _BASE)
+def same_name(c: Column, name: str) -> Column:
+    """Whether a text is ``name`` but for case, accents and blanks around it, by collation (JVM only).
+
+    Equal to comparing ``normalise_exact`` for names of Latin letters with accents; it differs for letters without a base letter in
+    ASCII (o with a stroke) and for control characters inside, which a collation ignores."""
+    cleaned = F.regexp_replace(F.regexp_replace(c, _FOREIGN, ""), _AROUND, "")
+    return F.coalesce(F.collate(cleaned, "UNICODE_CI_AI") == F.lit(name), F.lit(False))

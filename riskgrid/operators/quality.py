@@ -40,7 +40,7 @@ def rejected_polygons(checked: DataFrame, wkt_col: str = "polig") -> DataFrame:
 
 
 def validity_counts(checked: DataFrame) -> DataFrame:
-    """AG1: valid, repaired and rejected totals."""
+    """AG1: valid, repaired and rejected totals (rows without geometry are in none)."""
     return checked.agg(F.count_if(F.col("is_valid")).alias("n_valid"),
                        F.count_if(~F.col("is_valid") & F.col("valid_after")).alias("n_repaired"),
-                       F.count_if(~F.col("valid_after")).alias("n_rejected"))
+                       F.count_if(~F.col("is_valid") & ~F.col("valid_after")).alias("n_rejected"))

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrid.functions import geodesy, wkt
+from riskgrid.functions import crs, geodesy, wkt
 from riskgrid.operators import events as ev
 from riskgrid.operators import spatial
 from riskgrid.plans import oracle as O
@@ -594,6 +594,13 @@ def q_layer_counts(spark, sf_dir):
     return ev.layer_counts(_layered(spark, sf_dir))
 
 
+@register("layer_crs", _LAYER_CTES + """
+SELECT layer, CAST(4326 AS INTEGER) AS crs, count(*) AS n FROM layered WHERE layer IS NOT NULL GROUP BY layer""")
+def q_layer_crs(spark, sf_dir):
+    """GE13: the system that each layer's geometry is declared in."""
+    return crs.summary(ev.layer_geometries(_layered(spark, sf_dir)), "geom", "layer")
+
+
 def _bounds_select(by: str) -> str:
     lo_x, lo_y = O.mercator_sql("min(" + O.dval("x0") + ")", "min(" + O.dval("y0") + ")")
     hi_x, hi_y = O.mercator_sql("max(" + O.dval("x1") + ")", "max(" + O.dval("y1") + ")")
@@ -620,17 +627,186 @@ def q_total_bounds(spark, sf_dir):
 
 # ------------------------------------------------------------------ geometry quality
 
-@register("polygon_validity", O.with_(O.EVENT_BASE, O.RAW_EVENTS, O.CUSTOMERS) + """
-SELECT CAST(count(*) AS BIGINT) AS n_valid, CAST(0 AS BIGINT) AS n_repaired, CAST(0 AS BIGINT) AS n_rejected
-FROM (SELECT polig FROM raw_events UNION ALL SELECT polig_customer FROM customers WHERE polig_customer IS NOT NULL) t""")
+def _box_lists(x0, y0, x1, y1):
+    return f"[{x0}, {x1}, {x1}, {x0}, {x0}] AS xs, [{y0}, {y0}, {y1}, {y1}, {y0}] AS ys"
+
+
+def _ring_lists(points):
+    xs, ys = zip(*[*points, points[0]], strict=True)
+    return f"[{', '.join(xs)}] AS xs, [{', '.join(ys)}] AS ys"
+
+
+_SURVEY_RINGS = {
+    0: [(0, 0, _box_lists("x0", "y0", "x1", "y1"))],
+    1: [(0, 0, _ring_lists([("x0", "y0"), ("x1", "y1"), ("x1", "y0"), ("x0", "y1")]))],
+    2: [(0, 0, _ring_lists([("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x1 + h", "y1"), ("x1", "y1"), ("x0", "y1")]))],
+    3: [(0, 0, _box_lists("x0", "y0", "x1", "y1")), (0, 1, _ring_lists([("x0", "cy"), ("cx", "cy - h // 2"), ("cx", "cy + h // 2")]))],
+    4: [(0, 0, _box_lists("x0", "y0", "x1", "y1")),
+        (0, 1, _ring_lists([("x0", "cy"), ("cx", "cy - h // 2"), ("x1", "cy"), ("cx", "cy + h // 2")]))],
+    5: [(0, 0, _box_lists("x0", "y0", "x1", "y1")), (0, 1, _box_lists("x1 + h", "y0", "x1 + 2 * h", "y1"))],
+    6: [(0, 0, _box_lists("x0", "y0", "x1", "y1")), (1, 0, _box_lists("cx", "cy", "cx + 2 * h", "cy + 2 * h"))],
+    7: [(0, 0, _ring_lists([("x0", "y0"), ("x1", "y0"), ("cx", "y0")]))],
+}
+
+
+def _validity_sql() -> str:
+    """Validity in whole numbers: all pairs of edges of a polygon, points where rings touch, and vertices on the wrong side."""
+    rings = [f"SELECT 's' || s AS id, {part} AS part, {pos} AS pos, {lists} FROM ev_box WHERE s % 8 = {k}"
+             for k, shape in _SURVEY_RINGS.items() for part, pos, lists in shape]
+    rings += [f"SELECT 'e' || s, 0, 0, {_box_lists('x0', 'y0', 'x1', 'y1')} FROM ev_box",
+              f"SELECT 'e' || s, 1, 0, {_box_lists('cx + 2 * h', 'y0', 'cx + 4 * h', 'y1')} FROM ev_box WHERE shape = 1",
+              f"SELECT 'e' || s, 0, 1, {_box_lists('hx0', 'hy0', 'hx1', 'hy1')} FROM ev_box WHERE shape = 2",
+              f"SELECT 'c' || k, 0, 0, {_box_lists('bx0', 'by0', 'bx1', 'by1')} FROM customers WHERE shape = 'polygon'"]
+
+    def side(p, q, x, y):
+        return f"sign(({q[0]} - {p[0]}) * ({y} - {p[1]}) - ({q[1]} - {p[1]}) * ({x} - {p[0]}))"
+
+    def on(e, x, y):
+        return (f"{x} BETWEEN least({e}.x1, {e}.x2) AND greatest({e}.x1, {e}.x2) "
+                f"AND {y} BETWEEN least({e}.y1, {e}.y2) AND greatest({e}.y1, {e}.y2)")
+
+    ea, eb = (("a.x1", "a.y1"), ("a.x2", "a.y2")), (("b.x1", "b.y1"), ("b.x2", "b.y2"))
+    spots = [(f"o{i + 1} = 0 AND {on(e, x, y)}", x, y) for i, (e, (x, y)) in enumerate([("a", eb[0]), ("a", eb[1]), ("b", ea[0]), ("b", ea[1])])]
+    spots = [(c.replace("a.", "ax_").replace("b.", "bx_"), x.replace(".", "x_"), y.replace(".", "x_")) for c, x, y in spots]
+    names = ", ".join(f"{t}.{c} AS {t}x_{c}" for t in "ab" for c in ("part", "pos", "i", "x1", "y1", "x2", "y2"))
+    return O.with_(O.EVENT_BASE, O.CUSTOMERS) + f""", rings AS (
+  {' UNION ALL '.join(rings)}
+), edges AS (
+  SELECT id, part, pos, i, len(xs) - 1 AS m, xs[i] AS x1, ys[i] AS y1, xs[i + 1] AS x2, ys[i + 1] AS y2, xs[1] AS fx, ys[1] AS fy
+  FROM (SELECT *, unnest(range(1, len(xs))) AS i FROM rings) t
+), sized AS (
+  SELECT id, part, pos, max(abs((x1 - fx) * (y2 - fy) - (x2 - fx) * (y1 - fy))) AS width FROM edges GROUP BY id, part, pos
+), pairs AS (
+  SELECT a.id, a.m, {names},
+         {side(ea[0], ea[1], *eb[0])} AS o1, {side(ea[0], ea[1], *eb[1])} AS o2,
+         {side(eb[0], eb[1], *ea[0])} AS o3, {side(eb[0], eb[1], *ea[1])} AS o4,
+         (a.x2 - a.x1) * (b.x2 - b.x1) + (a.y2 - a.y1) * (b.y2 - b.y1) AS along
+  FROM edges a JOIN edges b ON a.id = b.id AND (a.part, a.pos, a.i) < (b.part, b.pos, b.i)
+), points AS (
+  {' UNION ALL '.join(f"SELECT *, {x} AS px, {y} AS py FROM pairs WHERE {c}" for c, x, y in spots)}
+), touching AS (
+  SELECT id, ax_part, ax_pos, bx_part, bx_pos, count(DISTINCT (px, py)) AS n FROM points
+  WHERE (ax_part, ax_pos) <> (bx_part, bx_pos) GROUP BY ALL
+), vertices AS (
+  SELECT v.id, v.part, v.pos, w.part AS qpart, w.pos AS qpos,
+         sum(CASE WHEN (w.y1 > v.y1) <> (w.y2 > v.y1) AND sign(w.y2 - w.y1) * ((v.x1 - w.x1) * (w.y2 - w.y1) - (w.x2 - w.x1) * (v.y1 - w.y1)) < 0
+             THEN 1 ELSE 0 END) % 2 = 1 AS inside,
+         max(CASE WHEN (w.x2 - w.x1) * (v.y1 - w.y1) = (w.y2 - w.y1) * (v.x1 - w.x1) AND {on('w', 'v.x1', 'v.y1')} THEN 1 ELSE 0 END) AS on_line
+  FROM edges v JOIN edges w ON v.id = w.id AND (v.part, v.pos) <> (w.part, w.pos)
+  GROUP BY v.id, v.part, v.pos, v.i, w.part, w.pos
+), bad AS (
+  SELECT id FROM sized WHERE width = 0
+  UNION SELECT id FROM pairs WHERE o1 * o2 < 0 AND o3 * o4 < 0
+  UNION SELECT id FROM points WHERE (ax_part, ax_pos) = (bx_part, bx_pos) AND NOT (bx_i - ax_i = 1 OR (ax_i = 1 AND bx_i = m))
+  UNION SELECT id FROM pairs WHERE (ax_part, ax_pos) = (bx_part, bx_pos) AND (bx_i - ax_i = 1 OR (ax_i = 1 AND bx_i = m))
+    AND o1 = 0 AND o2 = 0 AND along < 0
+  UNION SELECT id FROM touching WHERE n > 1
+  UNION SELECT id FROM vertices WHERE on_line = 0 AND (
+    (part = qpart AND pos > 0 AND qpos = 0 AND NOT inside) OR (part <> qpart AND pos = 0 AND qpos = 0 AND inside))
+), judged AS (
+  SELECT id, max(width) > 0 AS has_area, id IN (SELECT id FROM bad) AS is_bad FROM sized GROUP BY id
+)
+SELECT CAST(count_if(NOT is_bad) AS BIGINT) AS n_valid, CAST(count_if(is_bad AND has_area) AS BIGINT) AS n_repaired,
+       CAST(count_if(is_bad AND NOT has_area) AS BIGINT) AS n_rejected FROM judged"""
+
+
+@register("polygon_validity", _validity_sql())
 def q_polygon_validity(spark, sf_dir):
-    """GE3, GE4, FI3, FI4, AG1 over the raw hazard polygons and the customer polygons."""
+    """GE3, GE4, FI3, FI4, AG1 over survey polygons (invalid ones among them), raw hazard polygons and customer polygons."""
     from riskgrid.operators import quality
-    polys = derived.raw_events(spark, sf_dir).select("polig").unionByName(
+    polys = derived.survey_polygons(spark, sf_dir).select("polig").unionByName(derived.raw_events(spark, sf_dir).select("polig")).unionByName(
         customers(spark, sf_dir).filter(F.col("polig_customer").isNotNull()).select(F.col("polig_customer").alias("polig")))
     return quality.validity_counts(quality.check_polygons(polys))
 
 
+_EVEN_ODD_AREA = {0: "4 * h * h", 1: "2 * h * h", 2: "4 * h * h", 3: "4 * h * h - h * h // 2", 4: "4 * h * h - h * h",
+                  5: "6 * h * h", 6: "6 * h * h"}
+
+
+@register("repaired_polygons", O.with_(O.EVENT_BASE) + f"""
+SELECT CAST(s AS BIGINT) AS s, s % 8 NOT IN (0, 3) AS was_repaired, CAST(CASE s % 8 WHEN 1 THEN 2 WHEN 4 THEN 2 WHEN 5 THEN 2 WHEN 6 THEN 2 ELSE 1 END AS INTEGER) AS parts,
+       round(CASE s % 8 {' '.join(f'WHEN {k} THEN {v}' for k, v in _EVEN_ODD_AREA.items())} END / 1e8, 6) AS area_deg2
+FROM ev_box WHERE s % 8 <> 7""")
+def q_repaired_polygons(spark, sf_dir):
+    """FI3 + GE4: the survey polygons that are valid or could be repaired, with their parts and even-odd area."""
+    from riskgrid.operators import quality
+    kept = quality.valid_polygons(quality.check_polygons(derived.survey_polygons(spark, sf_dir)))
+    g = kept.withColumn("g", wkt.parse_wkt(F.col("polig")))
+    return g.select("s", F.col("repaired").isNotNull().alias("was_repaired"), F.size("g.parts").alias("parts"),
+                    F.round(wkt.area(F.col("g")), 6).alias("area_deg2"))
+
+
+# ------------------------------------------------------------------ KML and GeoJSON sources
+
+def _kml_sql() -> str:
+    x0, x1, y0, y1, cx, cy = (O.ctext(c) for c in ("x0", "x1", "y0", "y1", "cx", "cy"))
+    box = O.ring(O.box("x0", "y0", "x1", "y1"))
+    mixed = (f"'GEOMETRYCOLLECTION (POINT (' || {cx} || ' ' || {cy} || '), LINESTRING (' || {x0} || ' ' || {y0} || ', ' || {x1} || ' ' || {y1} || ')' || "
+             f"CASE WHEN s % 3 = 0 THEN ', MULTIPOLYGON ((' || {box} || '))' ELSE '' END || ')'")
+    none = "CAST(NULL AS VARCHAR)"
+    even = "s % 2 = 0"
+    rows = [("0", 0, "Document", "'doc ' || s", none, none, none, "true"), ("1", 1, "Folder", "'events'", "'all & more'", none, none, "true"),
+            ("2", 2, "Folder", "'inner'", none, none, none, even),
+            ("3", 3, "Placemark", "'a'", none, "'Polygon'", f"'POLYGON Z (' || {O.ring(O.box('x0', 'y0', 'x1', 'y1'), z='5')} || ')'", even),
+            (f"CASE WHEN {even} THEN 4 ELSE 2 END", 2, "Placemark", "'b'", "'mixed'", "'GeometryCollection'", mixed, "true"),
+            (f"CASE WHEN {even} THEN 5 ELSE 3 END", 1, "Placemark", "'c'", none, none, none, "true")]
+    return O.with_(O.EVENT_BASE) + ", inventory AS (" + " UNION ALL ".join(
+        f"SELECT CAST(s AS BIGINT) AS s, CAST({seq} AS INTEGER) AS seq, CAST({depth} AS INTEGER) AS depth, '{kind}' AS feature_type, {name} AS name, "
+        f"{text} AS description, {geom} AS geometry_type, {w} AS wkt FROM ev_box WHERE {cond}"
+        for seq, depth, kind, name, text, geom, w, cond in rows) + ")"
+
+
+def _kml_inventory(spark, sf_dir):
+    from riskgrid.sources import kml
+    return kml.inventory(derived.kml_documents(spark, sf_dir), "kml", ["s"])
+
+
+@register("kml_inventory", _kml_sql() + " SELECT * FROM inventory")
+def q_kml_inventory(spark, sf_dir):
+    """SC2: every feature of every document, containers included, in order, with its depth."""
+    return _kml_inventory(spark, sf_dir).drop("error")
+
+
+@register("kml_features", _kml_sql() + " SELECT s, name, description, geometry_type, wkt FROM inventory WHERE wkt IS NOT NULL")
+def q_kml_features(spark, sf_dir):
+    """SC1: the features with a geometry, mixed and nested MultiGeometry whole."""
+    from riskgrid.sources import kml
+    return kml.features(_kml_inventory(spark, sf_dir)).select("s", "name", "description", "geometry_type", "wkt")
+
+
+@register("state_boundaries", f"""
+WITH placed AS (SELECT n_nationkey AS k, n_name, r_name, -540000 + n_nationkey * 1000 AS x0, -320000 + n_nationkey * 2000 AS y0
+            FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT 'U' || k AS uf, n_name AS state, r_name AS region, 'LINESTRING ' || {O.ring(O.box('x0', 'y0', 'x0 + 900', 'y0 + 900'))} AS wkt FROM placed""")
+def q_state_boundaries(spark, sf_dir):
+    """SC9: state boundaries with code, name and region."""
+    from riskgrid.sources import kml
+    return kml.states(kml.features(kml.inventory(derived.state_documents(spark, sf_dir), "kml", [])))
+
+
+def _geojson_sql() -> str:
+    def ring(x0, y0, x1, y1, z=None):
+        return O.ring(O.box(x0, y0, x1, y1), fmt=O.num, z=z)
+
+    p = {c: O.num(c) for c in ("x0", "x1", "y0", "y1", "cx", "cy")}
+    texts = [f"'POLYGON Z (' || {ring('x0', 'y0', 'x1', 'y1', '5.5')} || ')'",
+             f"'MULTIPOLYGON ((' || {ring('x0', 'y0', 'x1', 'y1')} || '), (' || {ring('x0 + 90000', 'y0', 'x1 + 90000', 'y1')} || '))'",
+             "CAST(NULL AS VARCHAR)",
+             f"'GEOMETRYCOLLECTION (POINT (' || {p['cx']} || ' ' || {p['cy']} || '), LINESTRING (' || {p['x0']} || ' ' || {p['y0']} || ', ' || {p['x1']} || ' ' || {p['y1']} || '))'",
+             f"'MULTIPOINT ((' || {p['x0']} || ' ' || {p['y0']} || '), (' || {p['x1']} || ' ' || {p['y1']} || '))'"]
+    return O.with_(O.EVENT_BASE) + " UNION ALL ".join(
+        f"SELECT CAST(s AS BIGINT) AS s, CAST({i} AS INTEGER) AS seq, 's' || s % 5 AS uf_codigo, '{i}' AS \"Valor\", CAST(s AS BIGINT) AS deep, "
+        f"{t} AS geometry_wkt FROM ev_box" for i, t in enumerate(texts))
+
+
+@register("geojson_features", _geojson_sql())
+def q_geojson_features(spark, sf_dir):
+    """SC3, PR5: features of every geometry type with the asked properties, and one that nobody asked for from ``properties``."""
+    from riskgrid.sources import geojson
+    rows = geojson.collections(derived.geojson_documents(spark, sf_dir), "geojson", ["uf_codigo", "Valor"], ["s"])
+    return rows.select("s", "seq", "uf_codigo", "Valor", F.variant_get("properties", "$.more.deep[1]", "bigint").alias("deep"), "geometry_wkt")
+
+
 # ------------------------------------------------------------------ users' places x events
 
 _PLACE_HIT = f"""(m.lon BETWEEN {O.dval('e.x0')} AND {O.dval('e.x1')} AND m.lat BETWEEN {O.dval('e.y0')} AND {O.dval('e.y1')}

@@ -139,3 +139,105 @@ def pings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(e % 97 != 0, deg(x)).alias("longitude"),
         F.col("ts"), e.alias("event_id"),
     )
+
+
+def survey_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons as surveys deliver them, one per supplier, ``s % 8``: 0 box, 1 bow-tie, 2 spike, 3 hole that touches its shell, 4 hole
+    from side to side, 5 hole outside, 6 overlapping parts, 7 flat ring."""
+    s = F.col("s_suppkey")
+    cx = F.lit(-540000) + (s * 3701) % 60000
+    cy = F.lit(-320000) + (s * 5309) % 100000
+    h = F.lit(500) + (s % 7) * 500
+    x0, x1, y0, y1, hh = cx - h, cx + h, cy - h, cy + h, (h / 2).cast("long")
+    box = _ring_text(box_ring(x0, y0, x1, y1))
+
+    def closed(*points):
+        return _ring_text([*points, points[0]])
+
+    def polygon(*rings):
+        return F.concat(F.lit("POLYGON ("), F.concat_ws(", ", *rings), F.lit(")"))
+
+    shapes = [
+        polygon(box), polygon(closed((x0, y0), (x1, y1), (x1, y0), (x0, y1))),
+        polygon(closed((x0, y0), (x1, y0), (x1, y1), (x1 + h, y1), (x1, y1), (x0, y1))),
+        polygon(box, closed((x0, cy), (cx, cy - hh), (cx, cy + hh))),
+        polygon(box, closed((x0, cy), (cx, cy - hh), (x1, cy), (cx, cy + hh))),
+        polygon(box, _ring_text(box_ring(x1 + h, y0, x1 + 2 * h, y1))),
+        F.concat(F.lit("MULTIPOLYGON (("), box, F.lit("), ("), _ring_text(box_ring(cx, cy, cx + 2 * h, cy + 2 * h)), F.lit("))")),
+        polygon(closed((x0, y0), (x1, y0), (cx, y0)))]
+    polig = shapes[-1]
+    for i, shape in enumerate(shapes[:-1]):
+        polig = F.when(s % 8 == i, shape).otherwise(polig)
+    return table(spark, sf_dir, "supplier").select(s.cast("long").alias("s"), polig.alias("polig"))
+
+
+def _box_of(s: Column) -> tuple[Column, ...]:
+    cx = F.lit(-540000) + (s * 3701) % 60000
+    cy = F.lit(-320000) + (s * 5309) % 100000
+    h = F.lit(500) + (s % 7) * 500
+    return cx, cy, cx - h, cx + h, cy - h, cy + h
+
+
+def _tuples(points, sep: str, z: str = "") -> Column:
+    """Coordinate text 'x,y[,z]' with blanks (KML) between the points."""
+    return F.concat_ws(sep, *(F.concat(coord_text(x), F.lit(","), coord_text(y), F.lit(z)) for x, y in points))
+
+
+def kml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``s, kml``: a document per supplier with nested folders (a deeper one for even ``s``), a polygon with Z, a MultiGeometry of
+    mixed kinds (a nested one where ``s % 3 = 0``) and a feature without geometry."""
+    s = F.col("s_suppkey")
+    cx, cy, x0, x1, y0, y1 = _box_of(s)
+
+    def polygon(z: str) -> Column:
+        return F.concat(F.lit("<Polygon><outerBoundaryIs><LinearRing><coordinates>"), _tuples(box_ring(x0, y0, x1, y1), " ", z),
+                        F.lit("</coordinates></LinearRing></outerBoundaryIs></Polygon>"))
+
+    inner = F.concat(F.lit("<Folder><name>inner</name><Placemark><name>a</name>"), polygon(",5"), F.lit("</Placemark></Folder>"))
+    mixed = F.concat(
+        F.lit("<Placemark><name>b</name><description>mixed</description><MultiGeometry><Point><coordinates>"), _tuples([(cx, cy)], " "),
+        F.lit("</coordinates></Point><LineString><coordinates>"), _tuples([(x0, y0), (x1, y1)], " "), F.lit("</coordinates></LineString>"),
+        F.when(s % 3 == 0, F.concat(F.lit("<MultiGeometry>"), polygon(""), F.lit("</MultiGeometry>"))).otherwise(""),
+        F.lit("</MultiGeometry></Placemark>"))
+    kml = F.concat(
+        F.lit('<kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>doc '), s.cast("string"),
+        F.lit("</name><Folder><name>events</name><description>all &amp; more</description>"), F.when(s % 2 == 0, inner).otherwise(""), mixed,
+        F.lit("</Folder><Placemark><name>c</name></Placemark></Document></kml>"))
+    return table(spark, sf_dir, "supplier").select(s.cast("long").alias("s"), kml.alias("kml"))
+
+
+def state_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``kml``: a closed line for each nation, named by its key and described as 'NATION / REGION'."""
+    k = F.col("n_nationkey")
+    x0, y0 = -540000 + k * 1000, -320000 + k * 2000
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.select(F.concat(
+        F.lit("<kml><Document><Placemark><name>U"), k.cast("string"), F.lit("</name><description>"), F.col("n_name"), F.lit(" / "), F.col("r_name"),
+        F.lit("</description><LineString><coordinates>"), _tuples(box_ring(x0, y0, x0 + 900, y0 + 900), " "),
+        F.lit("</coordinates></LineString></Placemark></Document></kml>")).alias("kml"))
+
+
+def geojson_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``s, geojson``: a FeatureCollection per supplier with a polygon (Z on it), a MultiPolygon, a feature without geometry, a
+    GeometryCollection and a MultiPoint; properties beyond the asked ones."""
+    s = F.col("s_suppkey")
+    cx, cy, x0, x1, y0, y1 = _box_of(s)
+
+    def position(x, y, z=""):
+        return F.concat(F.lit("["), _tuples([(x, y)], ",", z), F.lit("]"))
+
+    def line(points, z=""):
+        return F.concat(F.lit("["), F.concat_ws(",", *(position(x, y, z) for x, y in points)), F.lit("]"))
+
+    box = box_ring(x0, y0, x1, y1)
+    geometries = [
+        F.concat(F.lit('{"type":"Polygon","coordinates":['), line(box, ",5.5"), F.lit("]}")),
+        F.concat(F.lit('{"type":"MultiPolygon","coordinates":[['), line(box), F.lit("],["), line(box_ring(x0 + 90000, y0, x1 + 90000, y1)), F.lit("]]}")),
+        F.lit("null"),
+        F.concat(F.lit('{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":'), position(cx, cy),
+                 F.lit('},{"type":"LineString","coordinates":'), line([(x0, y0), (x1, y1)]), F.lit("}]}")),
+        F.concat(F.lit('{"coordinates":'), line([(x0, y0), (x1, y1)]), F.lit(',"type":"MultiPoint"}'))]
+    features = [F.concat(F.lit('{"type":"Feature","properties":{"uf_codigo":"s'), (s % 5).cast("string"), F.lit(f'","Valor":{i},"more":{{"deep":[1,'),
+                         s.cast("string"), F.lit(']}},"geometry":'), g, F.lit("}")) for i, g in enumerate(geometries)]
+    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.concat_ws(",", *features), F.lit("]}"))
+    return table(spark, sf_dir, "supplier").select(s.cast("long").alias("s"), text.alias("geojson"))

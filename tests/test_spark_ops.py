@@ -50,8 +50,44 @@ def test_normalise(spark):
     df = spark.createDataFrame([("  Incêndios Brasil ",), ("ENCHENTES RS",), (None,)], "t string")
     got = [r[0] for r in df.select(text.normalise_exact(F.col("t"))).collect()]
     assert got == ["incendios brasil", "enchentes rs", "none"]
-    fast = [r[0] for r in df.select(text.normalise_fast(F.col("t"))).collect()]
-    assert fast == got
+
+
+def test_layers_by_collation_equal_the_normalised_names(spark):
+    names = ["secas brasil", "incendios brasil", "enchentes rs"]
+    given = ["  Incêndios Brasil ", "INCE\u0302NDIOS BRASIL", "\tsecas BRASIL\n", "Enchentes RS", "enchentes  rs", "enchentes", "", None,
+             "séçàs brasil", "secas中 brasil", "secasbrasil", "ＥＮＣＨＥＮＴＥＳ rs"]
+    df = spark.createDataFrame([(i, t, "S1", "o", "POINT (1 2)", "d") for i, t in enumerate(given)],
+                               "i int, tipo_evento string, additional_value string, origem string, polig string, data_run string")
+    rows = events.layers(df).select("i", "layer", "color", "tipo_evento_normalizado").collect()
+    want = {n: events.LAYER_OF[n] for n in names}
+    for r in rows:
+        if r["i"] != 11:                                   # wide letters are Latin too: folded by both
+            assert r["layer"] == want.get(r["tipo_evento_normalizado"]), given[r["i"]]
+        assert (r["color"] == "#feb24c") == (r["layer"] == "droughts")
+    plan = events.layer_counts(events.layers(df))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_crs_metadata(spark, tmp_path):
+    from riskgrid.functions import crs
+    df = spark.createDataFrame([("Secas Brasil", "POLYGON ((0 0, 1 0, 1 1, 0 0))", "s1")], "tipo_evento string, polig string, additional_value string")
+    assert crs.crs_of(df, "polig") is None and crs.same((df, "polig")) == 4326
+    tagged = crs.tagged(df, "polig")
+    assert crs.crs_of(tagged, "polig") == 4326 and crs.crs_of(crs.tagged(crs.declared(df, "polig", 3857), "polig"), "polig") == 3857
+    tagged.where("polig is not null").select("polig", "tipo_evento").write.parquet(str(tmp_path / "t"))
+    assert crs.crs_of(spark.read.parquet(str(tmp_path / "t")), "polig") == 4326
+    layers = events.layers(tagged)
+    geoms = events.layer_geometries(layers)
+    assert crs.crs_of(geoms, "geom") == 4326 and crs.crs_of(events.total_bounds_3857(geoms), "xmax") == 3857
+    assert events.total_bounds_3857(geoms).first()["xmax"] == pytest.approx(111319.49, abs=0.1)
+    wrong = events.layers(crs.declared(df, "polig", 3857))
+    with pytest.raises(ValueError, match="3857"):
+        events.total_bounds_3857(events.layer_geometries(wrong))
+    with pytest.raises(ValueError, match="different"):
+        events.layer_geometries(wrong, spark.range(1).select(wkt.parse_wkt(F.lit("POINT (1 2)")).alias("geom")))
+    cust = crs.declared(spark.createDataFrame([(1, 1.0, 2.0, None, "x")], CUSTOMER), "polig_customer", 32722)
+    with pytest.raises(ValueError, match="32722"):
+        spatial.prepare_customers(cust)
 
 
 def test_union_rejects_wrong_schema(spark):
@@ -161,7 +197,63 @@ def test_kml_source(spark, tmp_path):
     assert std["MG"] == "POLYGON ((0 0, 1 0, 1 1, 0 0))"
     states = kml.read_states(spark, str(p)).filter("uf = 'AC'").first()
     assert (states["state"], states["region"]) == ("ACRE", "NORTE")
-    assert kml.read_states(spark, str(tmp_path / "missing.kml")).count() == 0
+    with pytest.warns(UserWarning, match="missing"):
+        assert kml.read_states(spark, str(tmp_path / "missing.kml")).count() == 0
+    with pytest.warns(UserWarning, match="no file"):
+        assert kml.read_states(spark, None).count() == 0
+    found = kml.read_inventory(spark, str(p)).orderBy("seq").collect()
+    assert [(r["depth"], r["feature_type"], r["name"]) for r in found] == [
+        (0, "Document", "doc"), (1, "Folder", "f1"), (2, "Placemark", "RS"), (2, "Folder", "f2"), (3, "Placemark", "MG"),
+        (1, "Placemark", "P"), (1, "Placemark", "AC"), (1, "Placemark", "none")]
+    assert {r["name"]: r["wkt"] for r in found if r["wkt"]} == rows
+
+
+def test_kml_geometry_without_losses(spark):
+    from riskgrid.sources import kml
+
+    def mark(inner):
+        return f"<Placemark>{inner}</Placemark>"
+
+    point, line = "<Point><coordinates> 1,2,3 </coordinates></Point>", "<LineString><coordinates>0,0 1e1,-.5</coordinates></LineString>"
+    given = {
+        mark(f"<MultiGeometry>{point}{line}</MultiGeometry>"): ("GeometryCollection", "GEOMETRYCOLLECTION Z (POINT Z (1 2 3), LINESTRING (0 0, 1e1 -.5))"),
+        mark(f"<MultiGeometry>{line}{line}</MultiGeometry>"): ("MultiLineString", "MULTILINESTRING ((0 0, 1e1 -.5), (0 0, 1e1 -.5))"),
+        mark(f"<MultiGeometry><MultiGeometry>{point}</MultiGeometry>{line}</MultiGeometry>"):
+            ("GeometryCollection", "GEOMETRYCOLLECTION Z (MULTIPOINT Z ((1 2 3)), LINESTRING (0 0, 1e1 -.5))"),
+        mark("<LineString><coordinates>0,0,1 2,2</coordinates></LineString>"): ("LineString", "LINESTRING Z (0 0 1, 2 2 0)"),
+        mark("<LinearRing><coordinates>0,0 1,0 1,1 0,0</coordinates></LinearRing>"): ("LinearRing", "LINEARRING (0 0, 1 0, 1 1, 0 0)"),
+        mark("<Point><coordinates>x,2</coordinates></Point>"): (None, None),
+        mark("<MultiGeometry/>"): (None, None), mark("<Polygon/>"): (None, None), mark(""): (None, None)}
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(given)] + [(90, "<kml><Folder>"), (91, None), (92, "")], "i int, doc string")
+    got = {r["i"]: r for r in kml.inventory(df, "doc", ["i"]).where("seq = 0 or error is not null").collect() if r["error"] is None or r["i"] < 90}
+    for i, want in enumerate(given.values()):
+        assert (got[i]["geometry_type"], got[i]["wkt"]) == want
+        assert (got[i]["error"] is not None) == (want[0] is None and i != 8)
+    errors = [r["i"] for r in kml.inventory(df, "doc", ["i"]).where("error like 'not XML%'").collect()]
+    assert sorted(errors) == [90, 92]
+
+
+def test_geojson_types_and_properties(spark):
+    import json
+    from riskgrid.sources import geojson
+    shapes = [("Point", [1, 2.5]), ("MultiPoint", [[1, 2], [3, 4]]), ("LineString", [[0, 0, 7], [1, 1, 8]]), ("MultiLineString", [[[0, 0], [1, 1]]]),
+              ("Polygon", [[[0, 0, 1], [1, 0], [1, 1, 2], [0, 0, 1]]]), ("Polygon", []), ("Circle", [1]), ("MultiPolygon", [[[[0, 0], [1, 0], [1, 1], [0, 0]]]])]
+    want = ["POINT (1 2.5)", "MULTIPOINT ((1 2), (3 4))", "LINESTRING Z (0 0 7, 1 1 8)", "MULTILINESTRING ((0 0, 1 1))",
+            "POLYGON Z ((0 0 1, 1 0 0, 1 1 2, 0 0 1))", None, None, "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)))"]
+    feats = [{"type": "Feature", "properties": {"a": i, "b": {"c": [i]}}, "geometry": {"type": t, "coordinates": c}} for i, (t, c) in enumerate(shapes)]
+    feats += [{"type": "Feature", "properties": None, "geometry": None},
+              {"type": "Feature", "properties": {"a": "x"}, "geometry": {"type": "GeometryCollection", "geometries": [
+                  {"type": t, "coordinates": c} for t, c in shapes[:3]]}},
+              {"type": "Feature", "properties": {}, "geometry": {"type": "GeometryCollection", "geometries": [{"type": "Circle", "coordinates": [1]}]}}]
+    want += [None, "GEOMETRYCOLLECTION Z (POINT (1 2.5), MULTIPOINT ((1 2), (3 4)), LINESTRING Z (0 0 7, 1 1 8))", None]
+    df = spark.createDataFrame([(1, json.dumps({"features": feats})), (2, None), (3, '{"features": []}')], "k int, t string")
+    read = geojson.collections(df, "t", ["a", "missing"], ["k"])
+    rows = read.orderBy("seq").collect()
+    assert [r["geometry_wkt"] for r in rows] == want and [r["a"] for r in rows] == [*map(str, range(8)), None, "x", None]
+    assert all(r["missing"] is None for r in rows)
+    assert read.where("seq = 3").select(F.variant_get("properties", "$.b.c[0]", "int")).first()[0] == 3
+    schema = geojson.property_schema(read.where("seq < 8"))
+    assert "a" in schema and "b" in schema and "OBJECT" in schema
 
 
 def test_geojson_source_and_drought_tags(spark, tmp_path):
