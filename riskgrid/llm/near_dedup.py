@@ -11,7 +11,8 @@ other class of any bucket has can't be shared, which bounds a class's similarity
 copies drop out by that bound.  The others are compared with a hub of their bucket (the class with the least
 part of such shingles: an original rather than a copy), links are confirmed on the full sets, and linked
 classes fall together.  Only buckets that still hold several components are looked at again, with another
-hub; what is left when that brings little is compared pair by pair, between different components only.
+hub; what is left when that brings little is compared pair by pair, between different components only, and
+only where what both share with the bucket's first hub doesn't rule a link out.
 Pairs inside a component can't change the result.
 
 Defined results: a null or empty text has an empty set, links with nothing, and is its own
@@ -143,8 +144,9 @@ def bucketed(classes: DataFrame) -> DataFrame:
     return classes.withColumn("key", F.explode(F.array(*keys)))
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets share ``PERCENT`` of their union."""
+def compared(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """The pairs ``a, b`` with the size of their full sets' intersection, ``common``, and whether that is ``PERCENT`` of the
+    union, ``linked``; a document with several texts has a row for each pair of these."""
     pairs = written(pairs)
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     # eight bytes an id: beyond the bound the texts are shuffled instead
@@ -155,15 +157,20 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keep = []
+            common, union = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if common * 100 >= PERCENT * (len(x) + len(y) - common):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+                common[i] = len(np.intersect1d(x, y, assume_unique=True))
+                union[i] = len(x) + len(y) - common[i]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common), pa.array(
+                common * 100 >= PERCENT * union)], ["a", "b", "common", "linked"])
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, common long, linked boolean")
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+def confirmed(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """The pairs ``a, b`` whose full sets share ``PERCENT`` of their union."""
+    return compared(docs, pairs, k).where("linked").select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -205,7 +212,9 @@ def labelled(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     rank = F.struct((1 - F.col("most") / F.col("n")).alias("alone"), "rep", "n", "most")
     hubs = (member.groupBy("key").agg(F.min(rank).alias("hub"), F.count(F.lit(1)).alias("c"))
             .where("c > 1").select("key", "hub"))
-    edges = confirmed(docs, _sized_pairs(member.join(hubs, "key")), k).checkpoint()
+    with_hubs = written(compared(docs, _sized_pairs(member.join(hubs, "key")), k))
+    edges = with_hubs.where("linked").select("a", "b").distinct()
+    hubs0 = hubs.select("key", F.col("hub.rep").alias("hub"))
     # a document with several rows is one vertex
     rep_of = real.join(every.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "rep").distinct()
     own = rep_of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -220,7 +229,7 @@ def labelled(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
             break
         turn += 1
         if pairs_left <= FEW_PAIRS * n_classes or (left_before is not None and pairs_left > left_before * 0.8):
-            found = confirmed(docs, _close_pairs(docs, open_rows, k), k)
+            found = confirmed(docs, _close_pairs(docs, _with_common(open_rows, hubs0, with_hubs), k), k)
             labels = components(edges.union(found).checkpoint())
             break
         left_before = pairs_left
@@ -241,6 +250,22 @@ def _fits(n_a, most_a, n_b, most_b):
     return common * 100 >= (n_a + n_b - common) * PERCENT
 
 
+def _with_common(open_rows: DataFrame, hubs: DataFrame, with_hubs: DataFrame) -> DataFrame:
+    """``open_rows`` with ``common``, what a class shares with the first hub of the bucket (null: not compared with it, or
+    one of both has several texts)."""
+    known = with_hubs.groupBy("a", "b").agg(F.max("common").alias("common"), F.count(F.lit(1)).alias("c")).where("c = 1").drop("c")
+    rows = open_rows.join(hubs, "key", "left").withColumns({"a": F.least("rep", "hub"), "b": F.greatest("rep", "hub")})
+    return rows.join(known, ["a", "b"], "left").drop("a", "b", "hub")
+
+
+def _fits_by_hub(a: str, b: str):
+    """Whether two classes of a bucket can share enough, seen from its hub: of the hub's shingles they share at most what the
+    lesser of both shares with it, of the others at most what the lesser could share with anyone."""
+    (n_a, most_a, c_a), (n_b, most_b, c_b) = ([F.col(f"{x}.{c}") for c in ("n", "most", "common")] for x in (a, b))
+    common = F.least(c_a, c_b) + F.least(most_a - c_a, most_b - c_b)
+    return F.coalesce(common * 100 >= (n_a + n_b - common) * PERCENT, F.lit(True))
+
+
 def _sized_pairs(with_hub: DataFrame) -> DataFrame:
     return (with_hub.where((F.col("rep") != F.col("hub.rep"))
                            & _fits(F.col("n"), F.col("most"), F.col("hub.n"), F.col("hub.most")))
@@ -287,7 +312,7 @@ def _close_pairs(docs: DataFrame, open_rows: DataFrame, k: int) -> DataFrame:
     errors = functools.reduce(operator.add, [
         F.bit_count(F.col("a.bits")[j].bitwiseXOR(F.col("b.bits")[j])) for j in range(BITS // 64)])
     return (a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label"))
-                   & _fits(F.col("a.n"), F.col("a.most"), F.col("b.n"), F.col("b.most")) & (errors <= FAR)
+                   & _fits(F.col("a.n"), F.col("a.most"), F.col("b.n"), F.col("b.most")) & _fits_by_hub("a", "b") & (errors <= FAR)
                    # once: in the bucket of the least common key
                    & (F.col("a.key") == F.array_min(F.array_intersect("a.keys", "b.keys"))))
             .select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct())
