@@ -419,8 +419,10 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple:
     known = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic")))
     sample = written(known.orderBy(F.xxhash64(F.lit(31), "doc_id"), "doc_id").limit(MAX_EXAMPLES))
+    # at most MAX_EXAMPLES rows; of several texts of one doc_id always the same
     texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-                    .join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]))     # at most MAX_EXAMPLES rows
+                    .join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(
+                        F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("toxic").alias("toxic")))
     totals = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if not totals:
         return None, None, None, 0
