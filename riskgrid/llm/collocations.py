@@ -49,7 +49,7 @@ CHUNK, OUT_ROWS = 2 << 20, 1 << 15
 #: Bits of the bitmap of frequent words and pairs (16 MB), and hashes that a task gathers before they move.
 FILTER_BITS, HELD = 27, 3 << 20
 
-COUNTS = "lang string, words int, phrase string, a long"
+COUNTS = "key string, a long"
 STREAM = "lang string, phrase string, a long, ext long, left array<long>, right array<long>"
 ROW, OPEN, BEFORE = 0, 1, 2
 
@@ -89,7 +89,11 @@ class Words:
         """Each word's place in the distinct words, and these."""
         at = np.concatenate((np.cumsum(self.inside, dtype=np.int32)[self.start] - 1, [np.count_nonzero(self.inside)])).astype(np.int32)
         found = pa.StringArray.from_buffers(len(self.start), pa.py_buffer(at), pa.py_buffer(self.data[self.inside])).dictionary_encode()
-        return found.indices.to_numpy().astype(np.int64), found.dictionary
+        # in the order of the words: phrases with the same beginning lie side by side, and take less space on their way
+        order = pc.array_sort_indices(found.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return rank[found.indices.to_numpy()], found.dictionary.take(pa.array(order))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -183,19 +187,19 @@ def _frequent(docs: DataFrame, least: int, bits: int = FILTER_BITS) -> Broadcast
 
 
 def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST) -> DataFrame:
-    """``COUNTS``: how often each phrase of up to ``max_words`` words occurs within pieces, for phrases of at least ``least``
-    occurrences; a row with no words has the number of all words of its language.
+    """``lang, phrase, a``: how often each phrase of up to ``max_words`` words occurs within pieces, for phrases of at least ``least``
+    occurrences; an empty phrase has the number of all words of its language.
 
     Texts are read twice: once for a bitmap of the frequent words and pairs, once to count the phrases whose words and pairs
     are all in it.  The counts are exact."""
     often = _frequent(docs, least)
     bits = len(often.value).bit_length() + 4
-    names = [c.split()[0] for c in COUNTS.split(", ")]
 
     def run(batches):
         for words in _chunks(batches):
-            for columns in counts(words):
-                batch = pa.RecordBatch.from_arrays(list(columns), names)
+            for langs, phrases, n in counts(words):
+                # one text as the key: a phrase has no tab
+                batch = pa.RecordBatch.from_arrays([pc.binary_join_element_wise(phrases, langs, "\t"), n], ["key", "a"])
                 yield from (batch.slice(i, OUT_ROWS) for i in range(0, len(batch), OUT_ROWS))
 
     def counts(words):
@@ -206,7 +210,7 @@ def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAS
         lang = words.lang.indices.to_numpy().astype(np.int64)[words.doc]
         langs = words.lang.dictionary
         n = np.bincount(lang, minlength=len(langs))
-        yield langs, pa.array(np.zeros(len(langs), np.int32)), pa.array([""] * len(langs), pa.string()), pa.array(n)
+        yield langs, pa.array([""] * len(langs), pa.string()), pa.array(n)
         word, spelt = words.ids()
         where = np.flatnonzero(known(words.hash))           # first words of the phrases
         key = lang[where]
@@ -220,10 +224,11 @@ def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAS
             _, first, key, n = np.unique(key * len(spelt) + word[where + m - 1], return_index=True, return_inverse=True, return_counts=True)
             at = where[first]
             phrase = pc.binary_join_element_wise(*(spelt.take(pa.array(word[at + i])) for i in range(m)), " ")
-            yield langs.take(pa.array(lang[at])), pa.array(np.full(len(n), m, np.int32)), phrase, pa.array(n)
+            yield langs.take(pa.array(lang[at])), phrase, pa.array(n)
 
-    return (_texts(docs).mapInArrow(run, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a"))
-            .where((F.col("a") >= least) | (F.col("words") == 0)))
+    phrase = F.substring_index("key", "\t", 1)
+    return (_texts(docs).mapInArrow(run, COUNTS).groupBy("key").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | (phrase == ""))
+            .select(F.expr("substring(key, locate('\t', key) + 1)").alias("lang"), phrase.alias("phrase"), "a"))
 
 
 def _with_place(array: str, place: int, value: Column) -> Column:
@@ -305,9 +310,9 @@ def mine(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST, absorb
     over the cuts of ``floor(SCALE * a * a / (l * r))``, exact."""
     parts = partitions(docs)
     counts = written(phrase_counts(docs, max_words, least))
-    n = counts.where("words = 0").select("lang", F.col("a").alias("n"))
+    n = counts.where("phrase = ''").select("lang", F.col("a").alias("n"))
     none = F.lit(None).cast("array<long>")
-    stream = counts.where("words > 0").select("lang", "phrase", "a", F.lit(0).cast("long").alias("ext"), none.alias("left"), none.alias("right"))
+    stream = counts.where("phrase <> ''").select("lang", "phrase", "a", F.lit(0).cast("long").alias("ext"), none.alias("left"), none.alias("right"))
     rows = _pass(_pass(stream, "right", max_words, parts), "left", max_words, parts)
     m = F.size("left") + 1
     cuts = []
