@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskgrid.functions import text, wkt
+from riskgrid.functions import text, udfs, wkt
 from riskgrid.operators import cluster, events, metrics, spatial
 from riskgrid.plans.queries import customers, standard_events_plan
 from riskgrid.schema import CUSTOMER
@@ -428,3 +428,31 @@ def test_nearest_event_without_events(spark):
     cu = spark.createDataFrame([(1, -10.0, -50.0, None, "p")], CUSTOMER)
     r = spatial.nearest_event(cu, ev.withColumn("id_polig_evento", events.event_id())).first()
     assert (r["id_polig_evento"], r["distance_to_event"]) == (None, None)
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Customers and events are dealt by cell once; what comes of the pairs stays where it was made."""
+    cfg = spatial.JoinConfig(force_shuffle=True)
+    hits = spatial.affected_pairs(customers(spark, SF), standard_events_plan(spark, SF), cfg)
+    plan = hits._jdf.queryExecution().executedPlan().toString().splitlines()
+    kernels = [i for i, line in enumerate(plan) if "MapInArrow" in line]
+    joins = [i for i, line in enumerate(plan) if "SortMergeJoin" in line and "_at" in line]
+    assert len(kernels) == len(joins) == 2                    # points, polygons
+    above = plan[:kernels[0]] + plan[kernels[0]:joins[0]] + plan[kernels[1]:joins[1]]
+    assert not any("Exchange" in line for line in above)
+
+
+def test_point_measures_equal_the_column_kernels(spark):
+    shapes = ["POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1 3, 3 3, 3 1, 1 1))", "LINESTRING (0 0, 2 2, 5 0)", "POINT (2 2)",
+              "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((2 2, 3 2, 3 3, 2 2)))", "POLYGON EMPTY"]
+    probe = [(0.5, 0.5), (2.0, 2.0), (1.0, 2.0), (4.0, 4.0), (5.0, 1.0), (-1.0, 2.0), (2.5, 2.2), (0.0, 0.0)]
+    df = spark.createDataFrame([(i, w, x, y) for i, (w, (x, y)) in enumerate((w, p) for w in shapes for p in probe)],
+                               "i int, w string, x double, y double").withColumn("g", wkt.parse_wkt(F.col("w"))).withColumn("f", udfs.flat(F.col("g")))
+    inside = spatial.point_in_polygon(F.col("x"), F.col("y"), F.col("g"))
+    want = {r.i: (r.hit, r.km) for r in df.select("i", inside.alias("hit"), F.when(inside, 0.0).otherwise(
+        spatial.point_distance_km(F.col("x"), F.col("y"), F.col("g"))).alias("km")).collect()}
+    hit = {r.i: r.v for r in udfs.point_kernel(df, F.col("x"), F.col("y"), "f", "intersects", "v", ["i"]).collect()}
+    km = {r.i: r.v for r in udfs.point_kernel(df, F.col("x"), F.col("y"), "f", "apart_km", "v", ["i"]).collect()}
+    assert hit == {i: h for i, (h, _) in want.items()}
+    assert {i for i, v in km.items() if v is None} == {i for i, (_, v) in want.items() if v is None}
+    assert all(abs(v - want[i][1]) < 1e-9 for i, v in km.items() if v is not None)
