@@ -19,8 +19,8 @@ from __future__ import annotations
 import base64
 import codecs
 import functools
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +78,19 @@ def library_spec(path: str) -> str:
     return made.to_str()
 
 
+class Memo(dict):
+    """A number for each match, in order of appearance; ``new`` are those that have no ids yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = number = len(self)
+        return number
+
+
 class Codec:
     """The library's tokenizer with a memo, and the bytes of every id."""
 
@@ -87,8 +100,11 @@ class Codec:
         self.library = Tokenizer.from_str(spec)
         self.findall = regex.compile(split).findall
         self.cut = regex.compile(r"\S(?=\s)")
-        self.memo: dict[str, list[int]] = {}
+        # the model itself, without the library's threads: matches are many and short, and every core has a task
+        self.tokenize = self.library.model.tokenize
+        self.forget()
         code = byte_letters()
+        self.letters = {b: c for c, b in code.items()}
         tokens = [b""] * (max(self.library.get_vocab().values(), default=-1) + 1)
         for letters, i in self.library.get_vocab().items():
             tokens[i] = bytes(code[c] for c in letters)
@@ -105,19 +121,33 @@ class Codec:
             first = at.end()
         yield text[first:] if first else text
 
+    def forget(self) -> None:
+        """An empty memo: the ids of its matches lie one after the other in ``known``, match ``i`` up to ``ends[i + 1]``."""
+        self.memo, self.known, self.ends = Memo(), array("i"), array("q", [0])
+
     def encode(self, text: str) -> np.ndarray:
         out = []
         for piece in self.pieces(text):
+            if len(self.memo) > MEMO:
+                self.forget()
             found = self.findall(piece)
-            new = list(set(found).difference(self.memo))
-            if len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
-                new = list(set(found))
-            for word, made in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.memo[word] = made.ids
-            out.append(np.fromiter(chain.from_iterable(map(self.memo.__getitem__, found)), np.int32))
+            which = np.fromiter(map(self.memo.__getitem__, found), np.int64, len(found))
+            for word in self.memo.new:
+                self.known.extend([t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+                self.ends.append(len(self.known))
+            self.memo.new.clear()
+            out.append(self._gathered(which))
         return out[0] if len(out) == 1 else np.concatenate(out)
 
+    def _gathered(self, which: np.ndarray) -> np.ndarray:
+        """The ids of the matches ``which``, in order."""
+        ends = np.frombuffer(self.ends, np.int64)
+        begin, size = ends[which], ends[which + 1] - ends[which]
+        step = begin - np.cumsum(size) + size
+        at = np.repeat(step, size)
+        at += np.arange(len(at))
+        return np.frombuffer(self.known, np.int32)[at] if len(at) else np.zeros(0, np.int32)
+
     def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First character and end of each id's span."""
         ends = np.cumsum(self.length[ids])

@@ -40,6 +40,22 @@ def test_every_code_point(codec, reference):
     assert all(codec.encode(t).tolist() == reference.encode_ordinary(t) for t in given)
 
 
+def test_one_lookup_a_match_and_no_threads(codec, reference, monkeypatch):
+    asked = []
+    made = byte_bpe.Codec(byte_bpe.library_spec(byte_bpe.ranks_path()), byte_bpe.pattern())
+    plain = made.tokenize
+    monkeypatch.setattr(made, "tokenize", lambda letters: asked.append(letters) or plain(letters))
+    made.library = None                                 # its batch calls start a thread for each core
+    for t in hard_texts(300):
+        assert made.encode(t).tolist() == reference.encode_ordinary(t)
+    assert len(asked) == len(set(asked)) == len(made.memo)
+    # a full memo starts anew
+    monkeypatch.setattr(byte_bpe, "MEMO", 5)
+    for t in hard_texts(300):
+        assert made.encode(t).tolist() == reference.encode_ordinary(t)
+    assert len(made.memo) < len(set(asked))
+
+
 def test_long_texts_in_pieces(codec, reference, monkeypatch):
     monkeypatch.setattr(byte_bpe, "PIECE", 7)
     for t in hard_texts(400):
