@@ -10,21 +10,21 @@ from pyspark.sql import functions as F
 
 from riskgrid.functions import udfs, wkt
 from riskgrid.operators.validity import validity
-from riskgrid.session import Tables
+from riskgrid.session import Tables, spread
 
 
 def check_polygons(df: DataFrame, wkt_col: str = "polig") -> DataFrame:
     """Adds ``is_valid`` (GE3, null for null geometry), ``repaired`` WKT for invalid rows (GE4) and ``valid_after`` (GE3 of the
     repaired one; an empty result is not valid)."""
     tables = Tables(df.sparkSession)
-    rows = tables.kept(df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_g", wkt.parse_wkt(F.col(wkt_col))))
+    rows = tables.kept(spread(df.withColumn("_row", F.monotonically_increasing_id()), "_row").withColumn("_g", wkt.parse_wkt(F.col(wkt_col))))
     checked = tables.kept(rows.join(validity(rows, "_row", "_g"), "_row"))
-    mended = tables.kept(udfs.repaired(checked.where("not is_valid"), "_g", "repaired", ["_row"])
+    mended = tables.kept(udfs.repaired(spread(checked.where("not is_valid"), "_row"), "_g", "repaired", ["_row"])
                          .withColumn("_g", wkt.parse_wkt(F.col("repaired"))))
     again = validity(mended.where("_g.xmin is not null"), "_row", "_g").withColumnRenamed("is_valid", "valid_again")
     out = (checked.drop("_g").join(mended.drop("_g"), "_row", "left").join(again, "_row", "left")
            .withColumn("valid_after", F.coalesce(F.col("is_valid") | F.col("valid_again"), F.lit(False))))
-    out = tables.result(out.select(*df.columns, "is_valid", "repaired", "valid_after"))
+    out = tables.result(spread(out, "_row").select(*df.columns, "is_valid", "repaired", "valid_after"))
     tables.drop()
     return out
 

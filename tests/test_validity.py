@@ -112,3 +112,12 @@ def test_clashing_names(spark, extra):
     df = spark.createDataFrame([("POLYGON ((0 0, 1 1, 1 0, 0 1, 0 0))", 7)], f"polig string, {extra} long")
     r = quality.check_polygons(df).first()
     assert (r[extra], r["is_valid"], r["valid_after"]) == (7, False, True)
+
+
+def test_repair_is_spread_over_tasks(spark):
+    # few bytes in one partition, but work in every row
+    bow = [f"POLYGON (({i} 0, {i + 1} 1, {i + 1} 0, {i} 1, {i} 0))" for i in range(64)]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(bow)], "id long, polig string").coalesce(1)
+    out = quality.check_polygons(df)
+    assert {(r.is_valid, r.valid_after) for r in out.collect()} == {(False, True)}
+    assert out.count() == 64 and out.select(F.input_file_name()).distinct().count() > 4
