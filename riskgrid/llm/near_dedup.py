@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrid.llm.common import documents, sized_broadcast, text_chunks, written
+from riskgrid.llm.common import SLIM_BYTES, documents, sized_broadcast, text_chunks, written
 from riskgrid.llm.textkernel import Words, buffers, mixed
 
 SHINGLE_WORDS = 4
@@ -75,7 +75,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     """``doc_id, shingles``: the set of each text as sorted 64-bit hashes in a binary."""
     def run(batches):
         for batch in batches:
-            for first, last in text_chunks(batch):
+            for first, last in text_chunks(batch, limit=SLIM_BYTES):
                 part = batch.slice(first, last - first)
                 sets = Words(*buffers(part.column("text").fill_null("")), fold=True).shingles(k)
                 yield pa.RecordBatch.from_arrays(
@@ -88,7 +88,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
     """``SIGNED`` by row; d1 and d2 are a 128-bit digest of the set (null signature: empty set)."""
     def run(batches):
         for batch in batches:
-            for first, last in text_chunks(batch):
+            for first, last in text_chunks(batch, limit=SLIM_BYTES):
                 part = batch.slice(first, last - first)
                 sets = Words(*buffers(part.column("text").fill_null("")), fold=True).shingles(k)
                 n = np.array([len(s) for s in sets], np.int64)
@@ -114,7 +114,7 @@ def unshared(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """``rep, d1, alone``: how many shingles of each class no other one has (none: no row)."""
     def run(batches):
         for batch in batches:
-            for first, last in text_chunks(batch):
+            for first, last in text_chunks(batch, limit=SLIM_BYTES):
                 part = batch.slice(first, last - first)
                 sets = Words(*buffers(part.column("text").fill_null("")), fold=True).shingles(k)
                 # a document can have other texts than that of the class
@@ -292,7 +292,7 @@ def _close_pairs(docs: DataFrame, open_rows: DataFrame, k: int) -> DataFrame:
     """Pairs of one bucket, of different components, with sizes and fine signatures close enough."""
     def run(batches):
         for batch in batches:
-            for first, last in text_chunks(batch):
+            for first, last in text_chunks(batch, limit=SLIM_BYTES):
                 part = batch.slice(first, last - first)
                 sets = Words(*buffers(part.column("text").fill_null("")), fold=True).shingles(k)
                 full = [i for i, s in enumerate(sets) if len(s)]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from riskgrid.llm.common import documents, text_chunks, written
+from riskgrid.llm.common import SLIM_BYTES, documents, text_chunks, written
 from riskgrid.llm.textkernel import Words, buffers, repeated
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -95,7 +95,7 @@ def measured(docs: DataFrame, carry: list[str], prefix: str = "") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for first, last in text_chunks(batch):
+            for first, last in text_chunks(batch, limit=SLIM_BYTES):
                 part = batch.slice(first, last - first)
                 f = features(part.column("text").fill_null(""))
                 yield pa.RecordBatch.from_arrays(

@@ -7,7 +7,7 @@ import pytest
 from cases import SCHEMA, docs, empty
 from test_pipeline import WORD, near_brute
 
-from riskgrid.llm import near_dedup
+from riskgrid.llm import near_dedup, quality
 from riskgrid.llm.common import prepare
 from riskgrid.llm.textkernel import Words, buffers
 
@@ -93,3 +93,25 @@ def test_fine_signature_loses_far_less_than_the_buckets():
     loss = sum(comb(near_dedup.BITS, i) * 0.1 ** i * 0.9 ** (near_dedup.BITS - i)
                for i in range(near_dedup.FAR + 1, near_dedup.BITS // 2))
     assert loss < 1.6e-6 / 1000
+
+
+class Direct:
+    """Stands for a table of one batch: gives what a task makes of it."""
+
+    def __init__(self, batch):
+        self.batch = batch
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return list(run(iter([self.batch])))
+
+
+def test_a_task_has_arrays_of_little_text_at_a_time(spark):
+    rng = random.Random(4)
+    text = ["".join(rng.choice("ab  c") for _ in range(20_000)) for _ in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), pa.array(text)], ["doc_id", "text"])
+    for made in (near_dedup.signed(Direct(batch), 5), near_dedup.shingle_sets(Direct(batch), 5), quality.measured(Direct(batch), [])):
+        assert sum(len(b) for b in made) == 100
+        assert max(len(b) for b in made) * 20_000 <= 600_000
