@@ -42,6 +42,8 @@ PREFIXES = (4, 5)
 NEIGHBOURS, BLOCK = 25, 64
 #: Columns of the dense part of the whole vectors, texts of a matrix product, and a bound of twice its rounding error.
 DENSE, TOGETHER, ROUNDING = 2048, 128, 5e-4
+#: Examples whose vectors are weighted at once.
+EXAMPLES_TOGETHER = 1000
 FOLDS = 5
 #: Weight of the prior rate among the votes.
 PRIOR_VOTES = 0.25
@@ -121,8 +123,21 @@ def places(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == h, at, -1)
 
 
-def example_vectors(texts: DataFrame, vocabulary) -> DataFrame:
-    """``doc_id, toxic, terms, counts``: places in the broadcast vocabulary and counts, as 32-bit binaries."""
+def packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as deflated byte planes."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view(np.int32).reshape(-1)
+
+
+VECTORS = "doc_id long, toxic int, size long, steps binary, counts binary, telling array<int>, telling_counts array<int>"
+
+
+def example_vectors(texts: DataFrame, vocabulary, telling) -> DataFrame:
+    """``VECTORS`` by row: places in the broadcast vocabulary (as ``packed`` steps) and ``packed`` counts, and those of the telling terms
+    (``telling``: broadcast, by place) apart."""
     def run(batches):
         for batch in batches:
             for first, last in text_chunks(batch):
@@ -130,12 +145,18 @@ def example_vectors(texts: DataFrame, vocabulary) -> DataFrame:
                 doc, which, n, known = by_row(part.column("text").fill_null(""))
                 at, n = places(vocabulary.value, known).astype(np.int32)[which], n.astype(np.int32)
                 cuts = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                both = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for x in (at, n)]
+                rows = list(zip(cuts, cuts[1:]))
+                own = telling.value[at]
+                has = np.flatnonzero(own >= 0)
+                ends = pa.array(np.searchsorted(doc[has], np.arange(part.num_rows + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("toxic"), *both], ["doc_id", "toxic", "terms", "counts"])
+                    [part.column("doc_id"), part.column("toxic"), pa.array(np.diff(cuts)),
+                     pa.array([packed(np.diff(at[a:b], prepend=0)) for a, b in rows], pa.binary()),
+                     pa.array([packed(n[a:b]) for a, b in rows], pa.binary()),
+                     pa.ListArray.from_arrays(ends, pa.array(own[has])), pa.ListArray.from_arrays(ends, pa.array(n[has]))],
+                    [f.split(" ")[0] for f in VECTORS.split(", ")])
 
-    return (texts.select("doc_id", F.col("toxic").cast("int"), "text")
-            .mapInArrow(run, "doc_id long, toxic int, terms binary, counts binary"))
+    return texts.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(run, VECTORS)
 
 
 def weighted(which: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -236,41 +257,52 @@ def calibration(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WholeIndex:
-    """The whole vectors of all examples, by example: ``cuts`` of ``col`` (place in the vocabulary) and ``count``."""
+    """The whole vectors of all examples, by example: ``cuts`` of ``col`` (place in the vocabulary) and ``count``.  They stay
+    ``packed`` as the tasks made them until a worker scores with them: the driver only hands them on."""
 
-    def __init__(self, ids: np.ndarray, toxic: np.ndarray, cuts: np.ndarray, col: np.ndarray, count: np.ndarray, idf: np.ndarray):
-        self.ids, self.toxic, self.cuts, self.col, self.count, self.idf = ids, toxic, cuts, col, count, idf
+    def __init__(self, ids: np.ndarray, toxic: np.ndarray, size: np.ndarray, steps: list[bytes], counts: list[bytes], idf: np.ndarray):
+        self.ids, self.toxic, self.steps, self.counts, self.idf = ids, toxic, steps, counts, idf
+        self.cuts = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
         self.dense = None
 
-    def __getstate__(self) -> dict:
-        # a broadcast lies on every machine's disk: the byte planes of steps and counts, deflated
-        planes = [zlib.compress(np.ascontiguousarray(x.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
-                  for x in (np.diff(self.col, prepend=0), self.count)]
-        return {"ids": self.ids, "toxic": self.toxic, "cuts": self.cuts, "idf": self.idf, "planes": planes}
-
-    def __setstate__(self, state: dict) -> None:
-        planes = state.pop("planes")
-        self.__dict__.update(state, dense=None)
-        steps, self.count = (np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T.copy().view(np.int32).reshape(-1)
-                             for x in planes)
-        self.col = np.cumsum(steps, dtype=np.int32)
+    def drop_vectors(self) -> None:
+        """Leaves ids, labels and sizes only."""
+        self.steps = self.counts = None
 
     def prepare(self) -> None:
-        """The dense and the posted part; made where it is used, as it is larger than what it is made from."""
+        """The vectors with their dense and posted part; made where they are used, as they are larger than what they are made
+        from, and by slices of examples, as the numbers in between are larger still."""
         n, terms_of = len(self.ids), np.diff(self.cuts)
-        weight = (1 + np.log(self.count)) * self.idf[self.col]
+        self.col, self.count = (np.empty(self.cuts[-1], np.int32) for _ in range(2))
+        for i in range(n):
+            mine = slice(self.cuts[i], self.cuts[i + 1])
+            np.cumsum(unpacked(self.steps[i]), out=self.col[mine])
+            self.count[mine] = unpacked(self.counts[i])
+        self.drop_vectors()
+        self.norm, weight = np.empty(n), np.empty(len(self.col), np.float32)
+        for first in range(0, n, EXAMPLES_TOGETHER):
+            last = min(n, first + EXAMPLES_TOGETHER)
+            mine = slice(self.cuts[first], self.cuts[last])
+            w = (1 + np.log(self.count[mine])) * self.idf[self.col[mine]]
+            own = np.repeat(np.arange(last - first), terms_of[first:last])
+            norm = np.sqrt(np.bincount(own, w * w, last - first))
+            norm[norm == 0] = 1
+            self.norm[first:last] = norm
+            weight[mine] = w / norm[own]
         row = np.repeat(np.arange(n, dtype=np.int32), terms_of)
-        self.norm = np.sqrt(np.bincount(row, weight * weight, n))
-        self.norm[self.norm == 0] = 1
-        weight = (weight / self.norm[row]).astype(np.float32)
         seen = np.bincount(self.col, minlength=len(self.idf))
         self.column = np.full(len(self.idf), -1, np.int32)
         common = np.argsort(-seen, kind="stable")[:DENSE]
         self.column[common] = np.arange(len(common))
-        at = self.column[self.col]
         dense = np.zeros((n, len(common)), np.float32)
-        dense[row[at >= 0], at[at >= 0]] = weight[at >= 0]
-        rare = np.flatnonzero(at < 0)
+        rare = np.ones(len(self.col), bool)
+        for first in range(0, n, EXAMPLES_TOGETHER):
+            mine = slice(self.cuts[first], self.cuts[min(n, first + EXAMPLES_TOGETHER)])
+            at = self.column[self.col[mine]]
+            hit = np.flatnonzero(at >= 0)
+            dense[row[mine][hit], at[hit]] = weight[mine][hit]
+            rare[mine][hit] = False
+        rare = np.flatnonzero(rare)
         rare = rare[np.argsort(self.col[rare], kind="stable")]
         self.row, self.weight = row[rare], weight[rare]
         seen[common] = 0
@@ -335,15 +367,12 @@ class WholeIndex:
 
 
 class Model:
-    """Both indexes; ``telling`` has the place in ``vocabulary`` of each telling term."""
+    """Both indexes; ``telling`` has the place in ``vocabulary`` of each telling term, ``place`` the reverse, ``own`` the terms and counts of
+    each example among the telling ones."""
 
-    def __init__(self, vocabulary: np.ndarray, telling: np.ndarray, whole: WholeIndex):
-        self.vocabulary, self.whole = vocabulary, whole
-        self.place = np.full(len(vocabulary), -1, np.int32)
-        self.place[telling] = np.arange(len(telling))
+    def __init__(self, vocabulary: np.ndarray, telling: np.ndarray, place: np.ndarray, own: list, whole: WholeIndex):
+        self.vocabulary, self.whole, self.place, self.own = vocabulary, whole, place, own
         self.prior = (whole.toxic.sum() + 0.5) / (len(whole.ids) + 1)
-        row = np.repeat(np.arange(len(whole.ids)), np.diff(whole.cuts))
-        self.own = [(w, c) for w, c in self.telling_vectors(row, whole.col, whole.count, len(whole.ids))]
         self.index = BlockMaxIndex([(w, c, int(y), int(i)) for (w, c), y, i in
                                     zip(self.own, whole.toxic, whole.ids, strict=True)], whole.idf[telling])
         i = self.index
@@ -435,12 +464,18 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple:
     vocabulary, df = seen["term"].to_numpy().view(np.uint64), seen["df"].to_numpy()
     order = np.argsort(vocabulary)
     vocabulary, idf = vocabulary[order], np.log((1 + n) / (1 + df[order])) + 1
-    rows = example_vectors(texts, spark.sparkContext.broadcast(vocabulary)).toArrow().sort_by("doc_id")
-    parts = [[np.frombuffer(x.as_py(), np.int32) for x in rows[c]] for c in ("terms", "counts")]
-    cuts = np.concatenate(([0], np.cumsum([len(x) for x in parts[0]]))).astype(np.int64)
-    whole = WholeIndex(rows["doc_id"].to_numpy(), rows["toxic"].to_numpy(), cuts, *(np.concatenate(x) for x in parts), idf)
-    model = Model(vocabulary, places(vocabulary, chosen), whole)
+    del seen
+    telling = places(vocabulary, chosen)
+    place = np.full(len(vocabulary), -1, np.int32)
+    place[telling] = np.arange(len(telling))
+    rows = example_vectors(texts, spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(place)).toArrow().sort_by("doc_id")
+    own = list(zip(rows["telling"].to_pylist(), rows["telling_counts"].to_pylist(), strict=True))
+    whole = WholeIndex(rows["doc_id"].to_numpy(), rows["toxic"].to_numpy(), rows["size"].to_numpy(), rows["steps"].to_pylist(),
+                       rows["counts"].to_pylist(), idf)
+    del rows
+    model = Model(vocabulary, telling, place, own, whole)
     shared = spark.sparkContext.broadcast(model)
+    whole.drop_vectors()
     left = votes(texts.withColumn("row", F.col("doc_id")), shared, leave=True)
     model.calibrate({r.doc_id: (r.toxic, r.every) for r in left.select("doc_id", "toxic", "every").collect()})
     return model, shared, frequency, n

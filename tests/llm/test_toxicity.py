@@ -98,3 +98,25 @@ def test_whole_vectors_of_all_examples(spark):
     for i in rare:
         if i not in held:
             assert got[1000 + i].evidence[0] == i and got[1000 + i].predicted == 1
+
+
+def test_driver_unpacks_no_vector(spark):
+    """The examples' vectors pass the driver packed, and it keeps none; a worker gets them back whole."""
+    import pyarrow as pa
+    prepare(spark)
+    for numbers in ([], [0], [5, 0, 70_000, 2**31 - 1]):
+        assert toxicity.unpacked(toxicity.packed(np.array(numbers, np.int64))).tolist() == numbers
+    rows = [(i, f"word{i % 7} other{i % 5} other{i % 5} more{i}" if i % 9 else "") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(60)], "doc_id long, toxic int")
+    model, shared, _, _ = toxicity.fitted(d, labels)
+    assert model.whole.steps is None and model.whole.counts is None and not hasattr(model.whole, "col")
+    sent = shared.value.whole
+    sent.prepare()
+    texts = dict(rows)
+    for n, i in enumerate(sent.ids.tolist()):
+        mine = slice(sent.cuts[n], sent.cuts[n + 1])
+        _, h, count = toxicity.counted(pa.array([texts[i]]))
+        order = np.argsort(h)
+        assert model.vocabulary[sent.col[mine]].tolist() == h[order].tolist()
+        assert sent.count[mine].tolist() == count[order].tolist()
