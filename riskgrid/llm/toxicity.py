@@ -42,8 +42,8 @@ PREFIXES = (4, 5)
 NEIGHBOURS, BLOCK = 25, 64
 #: Columns of the dense part of the whole vectors, texts of a matrix product, and a bound of twice its rounding error.
 DENSE, TOGETHER, ROUNDING = 2048, 128, 5e-4
-#: Examples whose vectors are weighted at once.
-EXAMPLES_TOGETHER = 1000
+#: Examples whose vectors are weighted at once, and postings that are added up at once.
+EXAMPLES_TOGETHER, POSTINGS = 1000, 60_000
 FOLDS = 5
 #: Weight of the prior rate among the votes.
 PRIOR_VOTES = 0.25
@@ -279,32 +279,29 @@ class WholeIndex:
             np.cumsum(unpacked(self.steps[i]), out=self.col[mine])
             self.count[mine] = unpacked(self.counts[i])
         self.drop_vectors()
-        self.norm, weight = np.empty(n), np.empty(len(self.col), np.float32)
-        for first in range(0, n, EXAMPLES_TOGETHER):
-            last = min(n, first + EXAMPLES_TOGETHER)
-            mine = slice(self.cuts[first], self.cuts[last])
-            w = (1 + np.log(self.count[mine])) * self.idf[self.col[mine]]
-            own = np.repeat(np.arange(last - first), terms_of[first:last])
-            norm = np.sqrt(np.bincount(own, w * w, last - first))
-            norm[norm == 0] = 1
-            self.norm[first:last] = norm
-            weight[mine] = w / norm[own]
-        row = np.repeat(np.arange(n, dtype=np.int32), terms_of)
         seen = np.bincount(self.col, minlength=len(self.idf))
         self.column = np.full(len(self.idf), -1, np.int32)
         common = np.argsort(-seen, kind="stable")[:DENSE]
         self.column[common] = np.arange(len(common))
-        dense = np.zeros((n, len(common)), np.float32)
-        rare = np.ones(len(self.col), bool)
+        self.norm, dense, rare = np.empty(n), np.zeros((n, len(common)), np.float32), []
         for first in range(0, n, EXAMPLES_TOGETHER):
-            mine = slice(self.cuts[first], self.cuts[min(n, first + EXAMPLES_TOGETHER)])
-            at = self.column[self.col[mine]]
-            hit = np.flatnonzero(at >= 0)
-            dense[row[mine][hit], at[hit]] = weight[mine][hit]
-            rare[mine][hit] = False
-        rare = np.flatnonzero(rare)
-        rare = rare[np.argsort(self.col[rare], kind="stable")]
-        self.row, self.weight = row[rare], weight[rare]
+            last = min(n, first + EXAMPLES_TOGETHER)
+            mine = slice(self.cuts[first], self.cuts[last])
+            col = self.col[mine]
+            weight = (1 + np.log(self.count[mine])) * self.idf[col]
+            row = np.repeat(np.arange(first, last, dtype=np.int32), terms_of[first:last])
+            norm = np.sqrt(np.bincount(row - first, weight * weight, last - first))
+            norm[norm == 0] = 1
+            self.norm[first:last] = norm
+            weight = (weight / norm[row - first]).astype(np.float32)
+            at = self.column[col]
+            hit, out = np.flatnonzero(at >= 0), at < 0
+            dense[row[hit], at[hit]] = weight[hit]
+            rare.append((col[out], row[out], weight[out]))
+        col, self.row, self.weight = (np.concatenate(x) for x in zip(*rare, strict=True))
+        del rare
+        order = np.argsort(col, kind="stable")
+        self.row, self.weight = self.row[order], self.weight[order]
         seen[common] = 0
         self.posts = np.concatenate(([0], np.cumsum(seen)))
         self.dense = dense
@@ -317,10 +314,20 @@ class WholeIndex:
         out = q @ self.dense.T
         rare = np.flatnonzero(at < 0)
         begin, size = self.posts[col[rare]], self.posts[col[rare] + 1] - self.posts[col[rare]]
-        post = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
-        if len(post):
-            key = np.repeat(doc[rare] * n, size) + self.row[post]
-            out += np.bincount(key, np.repeat(weight[rare], size) * self.weight[post], rows * n).reshape(rows, n)
+        before = np.concatenate(([0], np.cumsum(size)))
+        ends = np.searchsorted(doc[rare], np.arange(rows + 1))
+        first = 0
+        while first < rows:
+            # as many texts as have POSTINGS postings, one at least
+            last = max(first + 1, int(np.searchsorted(before[ends], before[ends[first]] + POSTINGS, side="right")) - 1)
+            mine = slice(ends[first], ends[last])
+            many, start = size[mine], before[ends[first]]
+            post = np.arange(before[ends[last]] - start) + np.repeat(begin[mine] - before[mine] + start, many)
+            if len(post):
+                key = np.repeat((doc[rare[mine]] - first) * n, many) + self.row[post]
+                out[first:last] += np.bincount(key, np.repeat(weight[rare[mine]], many) * self.weight[post],
+                                               (last - first) * n).reshape(last - first, n)
+            first = last
         return out
 
     def nearest(self, doc: np.ndarray, col: np.ndarray, weight: np.ndarray, rows: int, k: int, leave=None):
