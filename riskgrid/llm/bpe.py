@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from riskgrid.llm.common import documents, text_chunks
+from riskgrid.llm.common import SLIM_BYTES, documents, give_back, text_chunks, worker_table
 from riskgrid.llm.pretokens import Pretokens, byte_letters, flattened, token_bytes, vocabulary
 from riskgrid.llm.textkernel import buffers
 
@@ -48,15 +48,16 @@ class Merges:
         self.byte_ids = [0] * 256
         for letter, b in byte_letters().items():
             self.byte_ids[b] = ids[letter]
-        self.rank, self.rules = {}, []
-        for r, (a, b) in enumerate(spec["merges"]):
-            self.rank[ids[a], ids[b]] = (r, ids[a + b])
-            self.rules.append((token_bytes(a), token_bytes(b)))
         #: rank and new id in one number
-        self.packed = {p: r << 32 | new for p, (r, new) in self.rank.items()}
+        self.packed = {(ids[a], ids[b]): r << 32 | ids[a + b] for r, (a, b) in enumerate(spec["merges"])}
         self.bytes = {i: token_bytes(t) for t, i in ids.items() if t not in self.special}
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
 
+    @property
+    def rules(self) -> list[tuple[bytes, bytes]]:
+        """The merged strings, in order of rank."""
+        return [(self.bytes[a], self.bytes[b]) for a, b in sorted(self.packed, key=self.packed.__getitem__)]
+
     def merge(self, data: bytes) -> list[int]:
         """The ids of a byte string: always the leftmost pair of the lowest rank first."""
         ids = [self.byte_ids[b] for b in data]
@@ -80,27 +81,27 @@ class Merges:
 
     def _long(self, ids: list[int]) -> list[int]:
         """The same with a heap of pairs over a linked list."""
-        n, rank = len(ids), self.rank
+        n, packed = len(ids), self.packed
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*rank[p], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in rank]
+        heap = [(packed[p], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in packed]
         heapq.heapify(heap)
         while heap:
-            _, new, i, a, b = heapq.heappop(heap)
-            j = after[i] if ids[i] == a else n
+            best, i, a, b = heapq.heappop(heap)
+            new, j = best & 0xFFFFFFFF, after[i] if ids[i] == a else n
             if j >= n or ids[j] != b:
                 continue
             ids[i], ids[j] = new, -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
-                if p := rank.get((new, ids[after[j]])):
-                    heapq.heappush(heap, (*p, i, new, ids[after[j]]))
-            if (h := before[i]) >= 0 and (p := rank.get((ids[h], new))):
-                heapq.heappush(heap, (*p, h, ids[h], new))
+                if (p := packed.get((new, ids[after[j]]))) is not None:
+                    heapq.heappush(heap, (p, i, new, ids[after[j]]))
+            if (h := before[i]) >= 0 and (p := packed.get((ids[h], new))) is not None:
+                heapq.heappush(heap, (p, h, ids[h], new))
         return [x for x in ids if x >= 0]
 
 
-@functools.cache
+@worker_table
 def merges(path: str) -> Merges:
     return Merges(path)
 
@@ -184,10 +185,12 @@ class Encoder:
         (self.special_text, self.special_id), = list(self.rules.special.items()) or [("", -1)]
         self.special = self.special_text.encode()
         self.memo: dict[int, tuple[int, ...]] = {}
+        #: One object an id, shared by all that the memo holds.
+        self.one = {i: i for i in self.rules.bytes}.__getitem__
 
     def pretoken(self, data: bytes) -> tuple[int, ...]:
         if len(data) <= WINDOW:
-            return tuple(self.rules.merge(data))
+            return tuple(map(self.one, self.rules.merge(data)))
         t = Transducer(self.rules, self.lookahead)
         return (*t.feed(data), *t.finish())
 
@@ -207,7 +210,7 @@ class Encoder:
         return p, out, index
 
 
-@functools.cache
+@worker_table
 def encoder(path: str, lookahead: int) -> Encoder:
     """One by worker."""
     return Encoder(path, lookahead)
@@ -230,8 +233,9 @@ def encode_rows(docs: DataFrame, carry: list[str], path: str | None = None, dige
 
     def run(batches):
         enc = encoder(path, ahead)
+        give_back()             # what the file took to be parsed
         for batch in batches:
-            for first, last in text_chunks(batch):
+            for first, last in text_chunks(batch, limit=SLIM_BYTES):
                 part = batch.slice(first, last - first)
                 p, distinct, index = enc.chunk(*buffers(part.column("text").fill_null("")))
                 if digests:

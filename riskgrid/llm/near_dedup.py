@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrid.llm.common import SLIM_BYTES, documents, sized_broadcast, text_chunks, written
+from riskgrid.llm.common import SLIM_BYTES, documents, sized_broadcast, text_chunks, tidy, written
 from riskgrid.llm.textkernel import Words, buffers, mixed
 
 SHINGLE_WORDS = 4
@@ -81,7 +81,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, shingles binary")
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
@@ -107,7 +107,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                                               pa.array(symbols.reshape(-1)))],
                     ["doc_id", "n_shingles", "d1", "d2", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), SIGNED)
 
 
 def unshared(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -129,7 +129,7 @@ def unshared(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     wanted = classes.select(F.col("rep").alias("doc_id"), "d1")
     texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
              .join(sized_broadcast(wanted, classes.count()), "doc_id"))
-    once = (texts.mapInArrow(run, "rep long, d1 long, shingle long").groupBy("shingle")
+    once = (texts.mapInArrow(tidy(run), "rep long, d1 long, shingle long").groupBy("shingle")
             .agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep"), F.min("d1").alias("d1")).where("c = 1"))
     return once.groupBy("rep", "d1").agg(F.count(F.lit(1)).alias("alone"))
 
@@ -165,7 +165,7 @@ def compared(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common), pa.array(
                 common * 100 >= PERCENT * union)], ["a", "b", "common", "linked"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, common long, linked boolean")
+    return both.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long, common long, linked boolean")
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -307,7 +307,7 @@ def _close_pairs(docs: DataFrame, open_rows: DataFrame, k: int) -> DataFrame:
              .join(sized_broadcast(reps, reps.count()), "doc_id", "left_semi"))
     # at most SYMBOLS keys a class
     keys = open_rows.groupBy("rep").agg(F.collect_set("key").alias("keys"))
-    signed_rows = written(open_rows.join(texts.mapInArrow(run, "rep long, bits array<long>").join(keys, "rep"), "rep"))
+    signed_rows = written(open_rows.join(texts.mapInArrow(tidy(run), "rep long, bits array<long>").join(keys, "rep"), "rep"))
     a, b = signed_rows.alias("a"), signed_rows.alias("b")
     errors = functools.reduce(operator.add, [
         F.bit_count(F.col("a.bits")[j].bitwiseXOR(F.col("b.bits")[j])) for j in range(BITS // 64)])

@@ -101,7 +101,6 @@ def flattened(distinct: list, index: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return ids[step + np.arange(len(step))], np.concatenate(([0], ends))
 
 
-@functools.cache
 def vocabulary(path: str) -> dict:
     """``model`` and added tokens of a tokenizer file."""
     with open(path, encoding="utf-8") as f:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from riskgrid.llm.common import SLIM_BYTES, documents, text_chunks, written
+from riskgrid.llm.common import SLIM_BYTES, documents, text_chunks, tidy, written
 from riskgrid.llm.textkernel import Words, buffers, repeated
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -102,7 +102,7 @@ def measured(docs: DataFrame, carry: list[str], prefix: str = "") -> DataFrame:
                     [part.column(c) for c in carry] + [pa.array(f[c].astype(np.int64)) for c in FEATURES],
                     schema.names)
 
-    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(tidy(run), schema)
 
 
 def rules(prefix: str = "") -> dict[str, Column]:

@@ -16,7 +16,6 @@ library does; an empty table writes no rows.  Only ``doc_id`` and ``text`` are r
 
 from __future__ import annotations
 
-import functools
 import os
 import zlib
 
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from riskgrid.llm import idcoder
 from riskgrid.llm.bpe import Encoder, vocabulary_path
-from riskgrid.llm.common import documents, id_splits, in_runs, sized_broadcast, text_chunks, written
+from riskgrid.llm.common import documents, id_splits, in_runs, sized_broadcast, text_chunks, worker_table, written
 from riskgrid.llm.pretokens import flattened
 from riskgrid.llm.textkernel import buffers
 
@@ -54,7 +53,7 @@ class LibraryEncoder(Encoder):
         return tuple(self.library.encode(data.decode(), add_special_tokens=False).ids)
 
 
-@functools.cache
+@worker_table
 def library_encoder(path: str) -> LibraryEncoder:
     """One by worker."""
     return LibraryEncoder(path)
